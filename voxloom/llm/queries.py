@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, near_dup
+from voxloom.llm import bpe, caps, langid, mixing, near_dup, secrets_scan
 from voxloom.llm.session import bound_batches
 
 
@@ -16,10 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets_scan.train(secrets_scan.labelled_samples(spark))
+    return secrets_scan.digest(secrets_scan.scan(table(spark, sf_dir, "documents"), model))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.CONTRACT)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", F.coalesce(langid.bucket() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     tokens = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -33,7 +52,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }
 
