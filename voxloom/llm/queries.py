@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, caps, langid, mixing, near_dup, secrets_scan
+from voxloom.llm import bpe, caps, langid, mixing, near_dup, secrets_scan, simhash
+from voxloom.llm.storage import materialize
 from voxloom.llm.session import bound_batches
 
 
@@ -25,6 +26,16 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.CONTRACT)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also n_near: for documents whose id is divisible by 100, how many others are within the radius."""
+    found = materialize(simhash.edited_likeness(table(spark, sf_dir, "documents")), "fingerprints")
+    queried = found.where("doc_id % 100 = 0")
+    copies = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("fingerprint", "hit")
+    near = simhash.search(found, queried).join(copies, "hit").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n"))
+    counted = queried.select("doc_id", "fingerprint").join(near, "fingerprint").select("doc_id", (F.col("n") - 1).alias("n_near"))
+    return found.join(counted, "doc_id", "left")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learn(docs))
@@ -54,6 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_mixing": op9_mixing,
