@@ -46,7 +46,7 @@ class NearDupParams:
     block: int = 512
 
 
-#: Eight per-mille of pairs at 0.80 would miss 24 bands of 5; 30 bands of 4 miss 1.4e-7 of them.
+#: A pair at 0.80 shares none of 30 bands of 4 with probability 1.4e-7.
 DEFAULT = NearDupParams()
 CONTRACT = NearDupParams(width=3, similarity=85, bands=24, rows=5)
 
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = DEFAULT, id_col: st
     texts = source.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = texts.withColumnRenamed("doc_id", "rep")
     ready = members.join(sizes, "key").join(classes.select("rep", "sketch").dropDuplicates(["rep"]), "rep").join(texts, "rep")
-    links = spread(ready, "key", "rep", "size", max(32, p.block // 4)).mapInArrow(_verifier(p, least), "a long, b long")
+    links = spread(ready, "key", "rep", "size", max(32, p.block // 4), fine=True).mapInArrow(_verifier(p, least), "a long, b long")
     merged = connected_components(links)
 
     named = classes.select("d1", "d2", "n_shingles", "rep").join(
