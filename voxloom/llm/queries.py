@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, caps, langid, mixing, near_dup, secrets_scan, simhash
-from voxloom.llm.storage import materialize
+from voxloom.llm import bpe, caps, langid, licenses, line_templates, mixing, near_dup, secrets_scan, simhash, warc
 from voxloom.llm.session import bound_batches
+from voxloom.llm.storage import fresh_path, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,46 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digest(secrets_scan.scan(table(spark, sf_dir, "documents"), model))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "clean_text")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.CONTRACT)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes whole-file gzip archives, normalises them, and reads the members back by the index."""
+    folder = fresh_path(spark, "warc")
+    records = warc.with_revisits(table(spark, sf_dir, "pages"))
+    written = materialize(warc.write_archives(records, f"{folder}/whole"), "archives")
+    normal = materialize(warc.normalize(written, f"{folder}/members"), "members")
+    if normal.isEmpty():
+        index = spark.createDataFrame([], warc.INDEX)
+    else:
+        index = warc.read_index(spark, f"{folder}/members")
+    back = warc.read_records(index)
+    back = back.select("page_id", "record_type", "refers_to", "declared_digest", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("digest"))
+    back = materialize(back, "records")
+    # a revisit's payload is the one of the response that it refers to
+    responses = back.where("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("n").alias("rn"), F.col("digest").alias("rd")).dropDuplicates(["r"])
+    full = back.join(responses, F.col("refers_to") == F.col("r"), "left")
+    digest = F.coalesce("digest", "rd")
+    return full.select(
+        F.when(F.col("page_id") >= 0, F.col("page_id")).alias("page_id"),
+        F.coalesce("n", "rn").cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        "record_type",
+        "refers_to",
+        (digest == F.col("declared_digest")).alias("digest_holds"),
+    )
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also n_near: for documents whose id is divisible by 100, how many others are within the radius."""
     found = materialize(simhash.edited_likeness(table(spark, sf_dir, "documents")), "fingerprints")
@@ -64,7 +100,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_warc": op4_warc,
+    "op5_license_scan": op5_license_scan,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
