@@ -29,11 +29,16 @@ from voxloom.llm.storage import materialize
 
 @dataclass(frozen=True)
 class CapParams:
-    """``shared``: filters that a pair at ``cosine`` has in common on average."""
+    """``shared``: filters that a pair at ``cosine`` has in common on average.
+
+    ``turns``: product codes, each under a rotation of its own, that they are
+    spread over; a pair that lies badly to one rotation does not to all.
+    """
 
     cosine: float = 0.93
-    shared: float = 12.0
-    per_filter: float = 3.0
+    shared: float = 16.0
+    per_filter: float = 12.0
+    turns: int = 8
     block: int = 512
     seed: int = 20240
 
@@ -48,32 +53,39 @@ def _cap(d: int, alpha: np.ndarray) -> np.ndarray:
     return np.interp(np.clip(alpha, -1, 1), grid, up / up[0])
 
 
-@lru_cache(maxsize=16)
-def design(d: int, n: int, p: CapParams) -> tuple[float, int, int]:
-    """(alpha, blocks, code words a block) for n vectors of equal label in d dimensions."""
-    share = float(np.clip(p.per_filter / max(n, 1), 1e-9, 0.02))
+def _cap_of(d: int, share: float, cosine: float) -> tuple[float, float]:
+    """Height of the cap with that share of the sphere, and the chance that it holds both of a pair."""
     lo, hi = 0.0, 1.0
     for _ in range(50):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _cap(d, np.array(mid)) > share else (lo, mid)
-    alpha = lo
-    # a pair at the wanted cosine is in one filter together with probability ``both``
-    t = np.linspace(alpha, 1, 2001)[:-1]
+    t = np.linspace(lo, 1, 2001)[:-1]
     weight = np.maximum(1 - t**2, 1e-300) ** ((d - 3) / 2)
-    rest = (alpha - p.cosine * t) / (np.sqrt(1 - p.cosine**2) * np.sqrt(1 - t**2))
+    rest = (lo - cosine * t) / (np.sqrt(1 - cosine**2) * np.sqrt(1 - t**2))
     second = np.where(rest >= 1, 0.0, _cap(max(d - 1, 1), rest))
-    both = share * float((weight * second).sum() / weight.sum())
-    filters = p.shared / max(both, 1e-12)
+    return lo, share * float((weight * second).sum() / weight.sum())
+
+
+@lru_cache(maxsize=16)
+def design(d: int, n: int, p: CapParams) -> tuple[float, int, int]:
+    """(alpha, blocks, code words a block) of a turn for n vectors of equal label in d dimensions."""
+    share = float(np.clip(p.per_filter / max(n, 1), 1e-9, 0.02))
+    while True:
+        alpha, both = _cap_of(d, share, p.cosine)
+        if both >= 0.05 * share or share >= 0.5:  # in few dimensions small caps hold no two vectors at that angle
+            break
+        share = min(0.5, 2 * share)
+    filters = p.shared / max(both, 1e-12) / p.turns
     blocks = 1
     while filters ** (1 / blocks) > 160 and blocks < max(1, d // 8):
         blocks += 1
     return alpha, blocks, int(np.ceil(filters ** (1 / blocks)))
 
 
-@lru_cache(maxsize=16)
-def codes(d: int, blocks: int, words: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+@lru_cache(maxsize=64)
+def codes(d: int, blocks: int, words: int, seed: int, turn_number: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Rotation, coordinate blocks and unit code words of each block."""
-    rng = np.random.default_rng(seed + d)
+    rng = np.random.default_rng([seed, d, turn_number])
     turn, _ = np.linalg.qr(rng.standard_normal((d, d)))
     parts = np.array_split(np.arange(d), blocks)
     books = []
@@ -83,9 +95,14 @@ def codes(d: int, blocks: int, words: int, seed: int) -> tuple[np.ndarray, list[
     return turn, parts, books
 
 
-def decode_filters(unit: np.ndarray, alpha: float, blocks: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter number) of all filters that exceed alpha on the unit vectors."""
-    turn, parts, books = codes(unit.shape[1], blocks, words, seed)
+def decode_filters(unit: np.ndarray, alpha: float, blocks: int, words: int, seed: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter number) of all filters that exceed alpha on the unit vectors, over all turns."""
+    found = [_decode_turn(unit, alpha, blocks, words, codes(unit.shape[1], blocks, words, seed, t)) for t in range(turns)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] + t * words**blocks for t, f in enumerate(found)])
+
+
+def _decode_turn(unit: np.ndarray, alpha: float, blocks: int, words: int, code: tuple) -> tuple[np.ndarray, np.ndarray]:
+    turn, parts, books = code
     turned = unit @ turn
     dots = [turned[:, part] @ book.T / np.sqrt(blocks) for part, book in zip(parts, books)]
     reach = np.zeros((blocks + 1, len(unit)))
@@ -124,7 +141,7 @@ def _filterer(largest: int, p: CapParams):
                     some = np.flatnonzero(size == d)
                     unit = unit_rows(np.stack([flat[at[k] : at[k + 1]] for k in some]))
                     alpha, blocks, words = design(int(d), largest, p)
-                    row, number = decode_filters(unit, alpha, blocks, words, p.seed)
+                    row, number = decode_filters(unit, alpha, blocks, words, p.seed, p.turns)
                     order = np.lexsort((number, row))
                     row, number = row[order], number[order]
                     ends = np.searchsorted(row, np.arange(len(some) + 1)).astype(np.int32)
@@ -197,7 +214,8 @@ def near_vectors(table: DataFrame, params: CapParams = CapParams()) -> DataFrame
     columns are not read; an empty table gives an empty result.
     """
     p = params
-    v = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = "array<float>" if dict(table.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     v = v.withColumn("d1", F.when(good, F.xxhash64("label", "embedding"))).withColumn("d2", F.when(good, F.hash("embedding", "label").cast("long")))
@@ -207,7 +225,7 @@ def near_vectors(table: DataFrame, params: CapParams = CapParams()) -> DataFrame
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
 
     filtered = classes.select("cls", "label", "embedding", "w").mapInArrow(
-        _filterer(int(largest), p), "cls long, label long, embedding array<double>, w long, filters array<long>"
+        _filterer(int(largest), p), f"cls long, label long, embedding {kind}, w long, filters array<long>"
     )
     filtered = materialize(filtered, "filters")
     flat = filtered.select("*", F.explode("filters").alias("filter"))
