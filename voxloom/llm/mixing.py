@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.blocks import whole_groups
@@ -168,32 +168,36 @@ def copies(rows: DataFrame, seed: int = 9) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: int = 9, **shares) -> DataFrame:
-    """One row per input row: doc_id, dup, source, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, unit, dup, source, size, source_size, target, copies, taken.
 
     ``size`` is the number of words (null text: 0).  A null source is a source
-    of its own, sorted last.  Rows that repeat a doc_id are decided apart and
-    numbered by ``dup``, in the order of source and a hash of the text.  Rows
-    without words take nothing.  Reruns agree, however the rows are laid out.
+    of its own, sorted last.  ``unit`` is the doc_id, or a hash of the text
+    where that is null; rows that repeat a unit are decided apart and numbered
+    by ``dup``, in the order of source and a hash of the text.  Rows without
+    words take nothing.  Reruns agree, however the rows are laid out.
     An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("h"))
+    rows = rows.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("h"), _unit("doc_id", "text").alias("unit"))
     rows = materialize(numbered(rows), "sizes")
     targets = source_targets(rows, **shares)
     keyed = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "h")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     keyed = materialize(keyed.withColumn("want", each).withColumn("src", F.xxhash64("source", F.col("source").isNull())), "targets")
-    got = copies(keyed.select("doc_id", "dup", "src", "size", F.col("want").alias("copies")), seed)
+    got = copies(keyed.select(F.col("unit").alias("doc_id"), "dup", "src", "size", F.col("want").alias("copies")), seed)
     got = got.select(F.col("doc_id").alias("i"), F.col("dup").alias("d"), "copies")
-    on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("dup") == F.col("d"))
-    out = keyed.join(got, on)
-    return out.select("doc_id", "dup", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = keyed.join(got, (F.col("unit") == F.col("i")) & (F.col("dup") == F.col("d")))
+    return out.select("doc_id", "unit", "dup", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _unit(doc_id: str, text: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text).cast("string")))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Add ``dup``: 0 for a doc_id's first row, counting up for rows that repeat it."""
-    order = Window.partitionBy("doc_id").orderBy("source", "size", "h")
+    """Add ``dup``: 0 for a unit's first row, counting up for rows that repeat it."""
+    order = Window.partitionBy("unit").orderBy("source", "size", "h")
     return rows.withColumn("dup", F.row_number().over(order) - 1)
 
 
@@ -201,10 +205,11 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns only."""
     names = docs.columns
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.col("doc_id").cast("long")
-    order = Window.partitionBy("__id").orderBy("__source", "__size", "__h")
-    marked = docs.withColumns({"__id": key, "__source": F.col("source").cast("string"), "__size": size, "__h": F.xxhash64(F.col("text").cast("string"))})
+    order = Window.partitionBy("__unit").orderBy("__source", "__size", "__h")
+    marked = docs.withColumns({"__unit": _unit("doc_id", "text"), "__source": F.col("source").cast("string"), "__size": size, "__h": F.xxhash64(F.col("text").cast("string"))})
     marked = marked.withColumn("__dup", F.row_number().over(order) - 1)
-    got = mixed.where("copies > 0").select(F.col("doc_id").alias("__i"), F.col("dup").alias("__d"), F.col("copies").alias("__n"))
-    out = marked.join(got, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__dup") == F.col("__d")))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*names)
+    # one row a unit, so the rows keep the partitioning that they were numbered in
+    taken = mixed.where("copies > 0").groupBy(F.col("unit").alias("__unit"))
+    taken = taken.agg(F.map_from_entries(F.collect_list(F.struct("dup", F.col("copies").cast("int").alias("n")))).alias("__taken"))
+    out = marked.join(taken, "__unit").withColumn("__n", F.try_element_at("__taken", F.col("__dup"))).where("__n > 0")
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*names)
