@@ -6,13 +6,15 @@ returns a frame.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import bpe, langid, line_templates, mixing, near_dup
 from voxloom.llm.session import bound_batches
-from voxloom.llm.storage import materialize
+from voxloom.llm.storage import drop_unread, materialize, written_paths
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "word_bpe_49k.json"
@@ -60,12 +62,29 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return tokens.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
+_left: list[str] = []
+
+
+def _tidy(stage):
+    """A stage that first deletes what the stages before it left behind; their rows have been written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_unread(spark, _left, docs)
+        before = set(written_paths())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [p for p in written_paths() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_common_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_to_targets),
-    ("bpe", encode_tokens),
+    ("language_id", _tidy(identify_language)),
+    ("line_dedup", _tidy(drop_common_lines)),
+    ("near_dedup", _tidy(drop_near_duplicates)),
+    ("mixing", _tidy(mix_to_targets)),
+    ("bpe", _tidy(encode_tokens)),
 ]
 
 #: Sketches and byte-pair merges are beyond SQL; tests hold run() against brute force.
