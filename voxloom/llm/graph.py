@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.storage import materialize, tally
+from voxloom.llm.storage import materialize, release, tally
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = materialize(e.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
     before = tally(e)
     while before[0]:
-        e = materialize(_small_star(_large_star(e)), "stars")
+        old, e = e, materialize(_small_star(_large_star(e)), "stars")
+        release(old)
         now = tally(e)
         if now == before:
             break

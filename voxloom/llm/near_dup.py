@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from voxloom.llm import kernels as K
 from voxloom.llm.blocks import Forest, spread, whole_groups
 from voxloom.llm.graph import connected_components
-from voxloom.llm.storage import materialize
+from voxloom.llm.storage import materialize, release
 
 
 @dataclass(frozen=True)
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = DEFAULT, id_col: st
     ready = members.join(sizes, "key").join(classes.select("rep", "sketch").dropDuplicates(["rep"]), "rep").join(texts, "rep")
     links = spread(ready, "key", "rep", "size", max(32, p.block // 4), fine=True).mapInArrow(_verifier(p, least), "a long, b long")
     merged = connected_components(links)
+    release(members)
 
     named = classes.select("d1", "d2", "n_shingles", "rep").join(
         merged.select(F.col("node").alias("rep"), "component"), "rep", "left"

@@ -9,14 +9,19 @@ machine) a temporary folder of our own is used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
+import weakref
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_places: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +58,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        held = _places.pop(id(df), None)
+        if held is not None and held[0]() is df:
+            drop_path(df.sparkSession, held[1])
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now and not at some later collection."""
+    for _ in range(2):  # what the first collection lets go of is cleaned by the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def written_paths() -> list[str]:
+    return [path for _, path in _written]
+
+
+def drop_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Delete those of ``paths`` that hold no input file of ``docs``."""
+    read = [unquote(f) for f in docs.inputFiles()]
+    bare = lambda p: p.split(":", 1)[-1].lstrip("/")
+    for path in paths:
+        if not any(bare(f).startswith(bare(path) + "/") for f in read):
+            drop_path(spark, path)
 
 
 def tally(df: DataFrame) -> tuple[int, int]:
