@@ -25,7 +25,7 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1  # place 0 is any other character
 #: Mean log-likelihood ratio of a character from which a token is random.
-THRESHOLD = 1.2
+THRESHOLD = 1.5
 CHUNK = 512
 
 #: Words that identifiers are made of, for the labelled samples.
@@ -47,7 +47,7 @@ PARTS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
+def labelled_samples(spark: SparkSession, n: int = 20000) -> DataFrame:
     """``n`` rows (token, is_random) of either label, made by rule and the same on every run.
 
     Random strings are digests in base 64, with and without signs, and in
@@ -59,7 +59,7 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
     raw = F.base64(F.unhex(F.sha2(F.concat(F.lit("sample"), i.cast("string")), 384)))
     kind = F.pmod(h(1), F.lit(5))
     plain = F.regexp_replace(raw, "[+/=]", "")
-    token = F.when(kind == 0, raw).when(kind == 1, plain).when(kind == 2, F.upper(plain)).when(kind == 3, F.lower(plain))
+    token = F.when(kind == 0, raw).when(kind <= 2, plain).when(kind == 3, F.when(i % 2 == 0, F.upper(plain)).otherwise(F.lower(plain)))
     token = F.substring(token.otherwise(F.sha2(i.cast("string"), 256)), 1, 40)
     words = F.array(*map(F.lit, PARTS))
     picks = [F.element_at(words, (F.pmod(h(10 + k), F.lit(len(PARTS))) + 1).cast("int")) for k in range(4)]
