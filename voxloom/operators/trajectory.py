@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions import geometry as G
 from voxloom.operators.solvers import inverse, rigid_alignment, to_matrix, to_row
@@ -160,6 +161,31 @@ def keyframes(frames: DataFrame, every: int = 5) -> DataFrame:
     return frames.where(F.col("frame_id") % every == 0).withColumn("kf_seq", (F.col("frame_id") / every).cast("long"))
 
 
+def _mapped(rows: DataFrame, source: str, made: str, f) -> DataFrame:
+    keep = [c for c in rows.columns if c != source]
+    schema = rows.select(*keep).schema.add(made, T.ArrayType(T.DoubleType()))
+
+    def run(batches):
+        for g in batches:
+            yield g[keep].assign(**{made: [f(v) for v in g[source]]})
+
+    return rows.mapInPandas(run, schema)
+
+
+def exponential(rows: DataFrame, source: str = "x", made: str = "m") -> DataFrame:
+    """Twists (six numbers, translation part first) to poses."""
+    from voxloom.operators.solvers import se3_exp
+
+    return _mapped(rows, source, made, lambda v: to_row(se3_exp(np.array(list(v)))))
+
+
+def logarithm(rows: DataFrame, source: str = "m", made: str = "x") -> DataFrame:
+    """Poses to twists."""
+    from voxloom.operators.solvers import se3_log
+
+    return _mapped(rows, source, made, lambda v: se3_log(to_matrix(list(v))).tolist())
+
+
 def deskew(points: DataFrame, poses: DataFrame) -> DataFrame:
     """Points moved by exp((t - 0.5) * log(T0^-1 T1)); poses give frame_id, m0 and m1, one row a frame."""
     from voxloom.operators.solvers import se3_exp, se3_log

@@ -326,3 +326,24 @@ def num_horn(spark, d):
 @query("evaluate_trajectory")
 def evaluate_trajectory(spark, d):
     return T.evaluate(X.truth(spark, d), X.predicted(spark, d))
+
+
+TWISTS = "SELECT range AS k, range * 0.1::DOUBLE AS v, (1 + range % 7) * 0.1::DOUBLE AS w FROM range(50)"
+
+
+def _twists(spark):
+    k = spark.range(50).select(F.col("id").alias("k"))
+    zero = F.lit(0.0)
+    return k.select("k", F.array(F.col("k") * 0.1, zero, zero, zero, zero, (1 + F.col("k") % 7) * 0.1).alias("x"))
+
+
+@query("fn_se3_exp", f"SELECT k, round(v*sin(w)/w, 6) AS x, round(v*(1-cos(w))/w, 6) AS y, round(cos(w), 6) AS c FROM ({TWISTS})")
+def fn_se3_exp(spark, d):
+    m = T.exponential(_twists(spark))
+    return m.select("k", R6(F.col("m")[3], "x"), R6(F.col("m")[7], "y"), R6(F.col("m")[0], "c"))
+
+
+@query("fn_se3_log", f"SELECT k, round(v, 6) AS v, round(w, 6) AS w FROM ({TWISTS})")
+def fn_se3_log(spark, d):
+    x = T.logarithm(T.exponential(_twists(spark)))
+    return x.select("k", R6(F.col("x")[0], "v"), R6(F.col("x")[5], "w"))

@@ -12,6 +12,7 @@ from voxloom.plans import odometry as O
 from voxloom.plans.catalog import query
 from voxloom.plans.fixtures import oracle
 from voxloom.plans.q_joins import _costs, _pair, _sides
+from voxloom.plans.q_points import VOX
 
 SMALL = "frame_id < 4"
 
@@ -38,7 +39,10 @@ def ctl_front(spark, d):
     return O.odometry(_scan(spark, d))
 
 
-@query("vm_update")
+VM = f"SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY frame_id, point_idx) - 1 AS slot FROM (SELECT *, {VOX(1.0)} FROM scan WHERE {SMALL})"
+
+
+@query("vm_update", oracle(f", cap AS (SELECT * FROM ({VM}) WHERE slot < 20), near AS (SELECT vx, vy, vz FROM cap WHERE slot = 0 AND x*x+y*y+z*z <= 10000) SELECT vx, vy, vz, slot::INT AS slot, x, y, z, label FROM cap JOIN near USING (vx, vy, vz)".replace("near AS", "close AS").replace("JOIN near", "JOIN close")))
 def vm_update(spark, d):
     """The point map after the frames: capped voxels around the last pose."""
     capped = P.voxel_cap(X.scan(spark, d).where(SMALL), 1.0)
