@@ -159,6 +159,15 @@ def test_pairing_keeps_words_and_expectations():
     assert np.allclose(total / 3000, want, atol=0.25)
 
 
+def test_the_last_item_of_a_run_is_paid_by_the_others():
+    sizes = np.array([3000.0, 400, 90, 60, 20, 5, 1, 3000, 7])
+    words = np.array([900.0, 0, 90, 0, 20, 0, 0, 3000, 0])
+    groups = np.array([0, 0, 0, 0, 0, 0, 0, 1, 1])
+    out = mixing.close_runs(sizes, words, groups)
+    assert ((out == 0) | (out == sizes)).all() and (out[7:] == words[7:]).all()
+    assert abs(out[:7].sum() - words[:7].sum()) < 450
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     out = mixing.mix_sources(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect()

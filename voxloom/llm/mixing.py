@@ -10,6 +10,7 @@ its target by less than one document however many there are.
 
 Chunks of documents are paired off first; what a chunk leaves open, at most
 one document a source, goes up a reduction tree with ``FAN`` children a node.
+At the root a single document may be left without a partner; it is rounded.
 """
 
 from __future__ import annotations
@@ -75,6 +76,26 @@ def pair_off(tags: np.ndarray, sizes: np.ndarray, words: np.ndarray, seed: int,
     return out
 
 
+def close_runs(sizes: np.ndarray, words: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Settle the one item that a run has left, at the root of the tree, where it has no partner.
+
+    It goes to its nearer end.  The words that this is off are given back by
+    turning over settled items of the run, larger ones first, wherever that
+    brings the run nearer to what it should take.
+    """
+    out = words.copy()
+    for k in np.flatnonzero((words > 0) & (words < sizes)):
+        out[k] = sizes[k] if 2 * words[k] >= sizes[k] else 0.0
+        owed = words[k] - out[k]
+        run = np.flatnonzero((groups == groups[k]) & (np.arange(len(sizes)) != k) & (sizes > 0))
+        for i in run[np.argsort(-sizes[run], kind="stable")]:
+            change = sizes[i] if out[i] == 0 else -sizes[i]
+            if abs(owed - change) < abs(owed):
+                out[i] += change
+                owed -= change
+    return out
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
@@ -124,8 +145,8 @@ def _rounder(seed: int, last: bool):
             node, src = get("node"), get("src")
             change = np.concatenate(([0], np.cumsum((node[1:] != node[:-1]) | (src[1:] != src[:-1]))))
             mass = pair_off(get("tag"), size, mass, seed, change)
-            if last:  # nothing is left to pair with: the nearer end
-                mass = np.where((mass > 0) & (mass < size), np.where(2 * mass >= size, size, 0.0), mass)
+            if last:
+                mass = close_runs(size, mass, change)
             yield from table.select(["doc_id", "dup", "src", "size", "base"]).append_column("mass", pa.array(mass)).append_column("chunk", table.column("node")).to_batches()
 
     return run
