@@ -12,16 +12,45 @@ from voxloom.operators import scene_graph as S
 from voxloom.operators.solvers import assignment
 
 FEW_MATCHES = 15
+BLOCK = 2048
+
+
+def _least(d: np.ndarray, seq: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least distances, ties by sequence number."""
+    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+    return some[np.lexsort((seq[some], d[some]))][:k]
 
 
 def loop_candidates(keyframes: DataFrame, k: int = 5, gap: int = 30, within: float | None = None) -> DataFrame:
     """(q, c, d, rank): the k nearest keyframes at least ``gap`` before each (kf_seq, desc); squared distance.
 
     Only real neighbours come back, and with ``within`` only those not above it.
+    Exact search in blocks: runs of BLOCK keyframes meet pairwise, a pair is
+    one task's matrix work and returns k rows a query at most.  So nothing is
+    broadcast, and no pair of keyframes becomes a row.
     """
-    q = keyframes.select(F.col("kf_seq").alias("q"), F.col("desc").alias("qv"))
-    c = keyframes.select(F.col("kf_seq").alias("c"), F.col("desc").alias("cv"))
-    pairs = q.join(c, F.col("c") <= F.col("q") - gap).select("q", "c", G.l2_distance(F.col("qv"), F.col("cv")).alias("d"))
+    rows = keyframes.select(F.col("kf_seq").cast("long").alias("s"), F.col("desc").cast("array<double>").alias("v"))
+    last = rows.agg(F.max("s")).first()[0] or 0
+    own = F.floor(F.col("s") / BLOCK).cast("int")
+    top = last // BLOCK
+    queries = rows.withColumns({"side": F.lit(0), "i": own, "j": F.explode(F.sequence(F.lit(0), own))})
+    corpus = rows.withColumns({"side": F.lit(1), "j": own, "i": F.explode(F.sequence(own, F.lit(int(top))))})
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("s")
+        q, c = g[g.side == 0], g[g.side == 1]
+        out: list[tuple[int, int, float]] = []
+        if len(q) and len(c):
+            seq, table = c.s.to_numpy(), np.stack(c.v.to_numpy())
+            for s, v in zip(q.s.to_numpy(), q.v.to_numpy()):
+                n = int(np.searchsorted(seq, s - gap, side="right"))
+                if n:
+                    d = ((table[:n] - v) ** 2).sum(axis=1)
+                    best = np.lexsort((seq[:n], d))[:k] if n <= 4 * k else _least(d, seq[:n], k)
+                    out += [(int(s), int(seq[b]), float(d[b])) for b in best]
+        return pd.DataFrame(out, columns=["q", "c", "d"])
+
+    pairs = queries.unionByName(corpus).groupBy("i", "j").applyInPandas(run, "q long, c long, d double")
     w = Window.partitionBy("q").orderBy("d", "c")
     out = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out if within is None else out.where(F.col("d") <= within)
