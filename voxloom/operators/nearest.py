@@ -65,10 +65,9 @@ def nearest_in_cells(queries: DataFrame, targets: DataFrame, size: float, within
     spots = spots.drop(*cells).select("*", *[F.col(f"_c.{n}").alias(n) for n in cells]).drop("_c")
     met = spots.join(t, [*keys, *cells]).withColumn("dist", G.distance(G.xyz(), G.xyz("t"))).where(F.col("dist") < within)
     own = [*keys, "point_idx"]
-    best = F.struct("dist", "tid")
     others = [c for c in queries.columns if c not in own] + ["tx", "ty", "tz", *["t" + c for c in carry]]
-    first = [F.min_by(c, best).alias(c) for c in others]
-    return met.groupBy(*own).agg(F.min(best).alias("_b"), *first).select(*own, *others, F.col("_b.tid").alias("tid"), F.col("_b.dist").alias("dist"))
+    best = F.min(F.struct("dist", "tid", *others)).alias("_b")  # one buffer, ordered by distance and then id
+    return met.groupBy(*own).agg(best).select(*own, *[F.col(f"_b.{c}").alias(c) for c in (*others, "tid", "dist")])
 
 
 def first_in_cells(queries: DataFrame, targets: DataFrame, size: float, keys: tuple[str, ...] = ()) -> DataFrame:
