@@ -228,10 +228,11 @@ def near_vectors(table: DataFrame, params: CapParams = CapParams()) -> DataFrame
         _filterer(int(largest), p), f"cls long, label long, embedding {kind}, w long, filters array<long>"
     )
     filtered = materialize(filtered, "filters")
-    flat = filtered.select("*", F.explode("filters").alias("filter"))
-    flat = flat.withColumn("key", F.xxhash64("label", F.size("embedding"), "filter"))
-    shared = flat.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = spread(flat.join(shared, "key"), "key", "cls", "size", p.block)
+    # filters that hold several vectors are found on keys alone; vectors move once, to where they are compared
+    flat = filtered.select("cls", "label", F.size("embedding").alias("d"), F.explode("filters").alias("filter"))
+    flat = flat.select("cls", F.xxhash64("label", "d", "filter").alias("key"), "filter")
+    shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = spread(flat.join(shared, "key").join(filtered, "cls"), "key", "cls", "size", p.block)
     links = materialize(met.mapInArrow(_linker(p), "a long, b long, n long"), "links")
     merged = connected_components(links)
 
