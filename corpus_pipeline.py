@@ -42,12 +42,35 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
+def one_id_a_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with __own: doc_id, but another one for further texts of the same doc_id.
+
+    The text of least hash keeps doc_id; the others get ids of their own from
+    2**62 on, that follow from doc_id and text and so sort after plain ones.
+    """
+    mark = F.xxhash64("text")
+    marks = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(mark).alias("__first"), F.max(mark).alias("__last"))
+    several = materialize(marks.where("__first <> __last").select("__id", "__first"), "repeated-ids")
+    if several.isEmpty():
+        return docs.withColumn("__own", F.col("doc_id"))
+    further = F.lit(2**62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1))
+    own = F.when(F.col("__first") != mark, further).otherwise(F.col("doc_id"))
+    joined = docs.join(several.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    return materialize(joined.withColumn("__own", own).drop("__id", "__first"), "own-ids")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of least doc_id, once."""
+    """One document of each near-duplicate group stays: the one of least doc_id, once.
+
+    Different texts of a repeated doc_id are documents of their own; of rows
+    that also agree in text the least of all columns stays.
+    """
     bound_batches(spark)
-    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    named = one_id_a_text(docs.select(*COLUMNS))
+    gone = near_dup.near_duplicates(named, id_col="__own").where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = named.join(gone, F.col("__own") == F.col("__gone"), "left_anti")
+    once = kept.where("__own is not null").groupBy("__own").agg(F.min(F.struct(*COLUMNS)).alias("__row")).select("__row.*")
+    return once.unionByName(kept.where("__own is null").select(*COLUMNS))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
