@@ -54,7 +54,7 @@ def corpus(seed, groups=12, size=9, length=80):
     return rows
 
 
-@pytest.mark.parametrize("params", [CONTRACT, NearDupParams(), NearDupParams(block=4)])
+@pytest.mark.parametrize("params", [CONTRACT, NearDupParams(), NearDupParams(block=4), NearDupParams(mass=60)])
 def test_equals_all_pairs(spark, params):
     rows = corpus(5) + [(1000, None), (1001, ""), (1002, " \n "), (1003, "One"), (1004, "one"), (1005, "A b")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()
@@ -85,3 +85,18 @@ def test_components_of_a_chain(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(1, 51)}, 101: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_repeated_id_links_by_all_its_texts(spark):
+    """Two texts of doc 5 tie the documents that equal either; each row has the size of its own set."""
+    rows = [(5, "a b c d"), (5, "k l m n o"), (1, "a b c d"), (9, "k l m n o"), (7, "x y z")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), CONTRACT).collect())
+    assert got == [(1, 2, 1), (5, 2, 1), (5, 3, 1), (7, 1, 7), (9, 3, 1)]
+
+
+def test_a_chain_of_documents_like_the_next(spark):
+    """Neighbours share most words, ends nothing: no link is lost and none is made up."""
+    words = [f"c{k}" for k in range(900)]
+    rows = [(k, " ".join(words[step * k : step * k + 60])) for step in (3, 5) for k in range(40 * (step == 5), 40 * (step == 5) + 40)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), CONTRACT).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, CONTRACT)

@@ -16,19 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(rows: DataFrame, key: str, member: str, size: str, block: int, fine: bool = False) -> DataFrame:
+def spread(rows: DataFrame, key: str, member: str, size: str, block: int, weight: str | None = None, most: int = 0) -> DataFrame:
     """Add ``bi``, ``bj`` (the unit) and ``own`` (the member's block) and gather the units.
 
     ``size`` names the column with the number of the group's members.  With
-    ``fine``, groups over ``block`` are cut at least so finely that their units
-    outnumber the shuffle partitions: for costly work on few groups, so that
-    one large group keeps all tasks busy.
+    ``weight``, the column of what all members weigh, blocks are also cut to
+    about ``most`` of it, down to single members.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    even = F.least(F.lit(int(np.ceil(np.sqrt(4 * parts)))), F.ceil(F.col(size) / 32)) if fine else F.lit(1)
-    k = F.when(F.col(size) <= block, F.lit(1)).otherwise(F.greatest(F.ceil(F.col(size) / block), even))
+    need = F.ceil(F.col(size) / block)
+    if weight is not None:
+        need = F.greatest(need, F.least(F.col(size), F.ceil(F.col(weight) / most)))
     own = F.pmod(F.xxhash64(F.col(member), F.lit(77)), F.col("_k")).cast("int")
-    out = rows.withColumn("_k", k.cast("long")).withColumn("own", own)
+    out = rows.withColumn("_k", need.cast("long")).withColumn("own", own)
     out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))))
     out = out.withColumn("bi", F.least("own", "_o")).withColumn("bj", F.greatest("own", "_o")).drop("_k", "_o")
     return out.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
