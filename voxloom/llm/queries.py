@@ -40,21 +40,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         index = spark.createDataFrame([], warc.INDEX)
     else:
         index = warc.read_index(spark, f"{folder}/members")
-    back = warc.read_records(index)
-    back = back.select("page_id", "record_type", "refers_to", "declared_digest", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("digest"))
-    back = materialize(back, "records")
-    # a revisit's payload is the one of the response that it refers to
-    responses = back.where("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("n").alias("rn"), F.col("digest").alias("rd")).dropDuplicates(["r"])
-    full = back.join(responses, F.col("refers_to") == F.col("r"), "left")
-    digest = F.coalesce("digest", "rd")
-    return full.select(
-        F.when(F.col("page_id") >= 0, F.col("page_id")).alias("page_id"),
-        F.coalesce("n", "rn").cast("long").alias("payload_bytes"),
-        digest.alias("payload_digest"),
-        "record_type",
-        "refers_to",
-        (digest == F.col("declared_digest")).alias("digest_holds"),
-    )
+    return warc.checked(warc.read_records(index))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +54,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     queried = found.where("doc_id % 100 = 0")
     copies = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("fingerprint", "hit")
     near = simhash.search(found, queried).join(copies, "hit").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n"))
-    counted = queried.select("doc_id", "fingerprint").join(near, "fingerprint").select("doc_id", (F.col("n") - 1).alias("n_near"))
-    return found.join(counted, "doc_id", "left")
+    # one row a fingerprint, so rows that repeat an id stay as many as they are
+    near = near.withColumnRenamed("fingerprint", "near_of")
+    counted = found.join(near, (F.col("fingerprint") == F.col("near_of")) & (F.col("doc_id") % 100 == 0), "left")
+    return counted.withColumn("n_near", F.col("n") - 1).drop("near_of", "n")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

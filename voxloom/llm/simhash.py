@@ -115,7 +115,8 @@ def _bucket(bounds: list[int], id_col: str) -> Column:
     size = 1
     while size < len(bounds) + 1:
         size *= 2
-    padded = F.array(*[F.lit(b) for b in bounds + [2**63 - 1] * (size - len(bounds))])
+    # one literal however many the bounds: folded to an array when the plan is made
+    padded = F.split(F.lit(",".join(map(str, bounds + [2**63 - 1] * (size - len(bounds))))), ",").cast("array<bigint>")
     steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
     down = lambda at, step: F.when(F.col(id_col) >= F.element_at(padded, at + step), at + step).otherwise(at)
     return F.aggregate(steps, F.lit(0), down)

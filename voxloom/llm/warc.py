@@ -23,6 +23,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.llm.storage import materialize
+
 LEAST_PAYLOAD = 100  # bytes from which equal payloads are written once
 ROTATE = 1 << 30  # bytes of records after which a writer starts another archive
 READ = 1 << 20
@@ -30,8 +32,10 @@ LEVEL = 4
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_ID = "urn:page:"
+NO_ID = "null"  # stands for a null page_id, which no number does
 
 INDEX = "page_id long, record_type string, refers_to long, archive string, offset long, length long"
+FILES_A_TASK = 4
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -73,8 +77,12 @@ class _Published:
         self.fs.move(self.passing, self.path)
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record; with ``refers_to`` a revisit, whose block is the response's headers only."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+    """One record; with ``refers_to`` a revisit, whose block is the response's headers only.
+
+    They give the length of the payload that the record stands for.
+    """
+    page_id = NO_ID if page_id is None else page_id
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     revisit = refers_to is not None
     block = http if revisit else http + payload
@@ -111,7 +119,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write (page_id, url, html, refers_to) as whole-file gzip archives; returns their (archive, records).
 
     One archive or more a partition, a new one after ROTATE bytes; a record is
-    in memory at a time.  Rows with a null page_id get the id -1.
+    in memory at a time.  A null page_id is written as ``urn:page:null`` and read back as null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +133,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     name = f"{folder}/pages-{part:05d}-{number:03d}.warc.gz"
                     file, n, size = _Published(name), 0, 0
                     packed = _Gzip(file.sink)
-                data = record(-1 if page.as_py() is None else page.as_py(), url.as_py(), html.as_py().encode(), refers.as_py())
+                data = record(page.as_py(), url.as_py(), html.as_py().encode(), refers.as_py())
                 packed.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ROTATE:
@@ -206,7 +214,8 @@ def _head(stream: _Inflated) -> tuple[list[bytes], dict[str, str]] | None:
 
 
 def _id(field: str | None) -> int | None:
-    return int(field.strip("<>").removeprefix(PAGE_ID)) if field else None
+    name = field.strip("<>").removeprefix(PAGE_ID) if field else NO_ID
+    return None if name == NO_ID else int(name)
 
 
 def normalize_one(archive: str, folder: str) -> tuple[str, str, int]:
@@ -244,8 +253,9 @@ def normalize(archives: DataFrame, folder: str) -> DataFrame:
     """Normalise every file named in ``archive``: (archive, sidecar, records).
 
     A file is one unit of work, as its stream can only be read from the front;
-    files are dealt out one by one.  An empty file has no records; one that is
-    cut off raises.
+    files are dealt over as many tasks as there are files, up to the shuffle
+    partitions or FILES_A_TASK files each.  An empty file has no records; one
+    that is cut off raises.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +263,11 @@ def normalize(archives: DataFrame, folder: str) -> DataFrame:
             done = [normalize_one(name, folder) for name in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], type=t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["archive", "sidecar", "records"])
 
-    dealt = archives.select("archive").where("archive is not null").distinct().repartition("archive")
+    named = archives.select("archive").where("archive is not null").distinct()
+    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = named.count()
+    # a given number of partitions is kept as it is, however small the names are
+    dealt = named.repartitionByRange(max(1, min(files, max(parts, files // FILES_A_TASK))), "archive")
     return dealt.mapInArrow(run, "archive string, sidecar string, records long")
 
 
@@ -262,19 +276,24 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX).option("pathGlobFilter", "*.index.jsonl").json(folder)
 
 
-def _member(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields and payload of a record from its own gzip member."""
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _member(data: bytes) -> tuple[dict[str, str], bytes, int]:
+    """Fields and payload of a record from its own gzip member, and the payload's length by the HTTP headers."""
     raw = zlib.decompress(data, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    fields = _fields(head)
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    return fields, payload, int(_fields(http).get("content-length", len(payload)))
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """Read the members that the index names: its page_id, record_type, refers_to, and url, payload, declared_digest.
+    """Read the members that the index names: its page_id, record_type, refers_to, and url, payload, declared_digest, declared_bytes.
 
-    A revisit's payload is null.  The rows are dealt by archive and offset, so
+    A revisit's payload is null; what it stands for is declared in its headers.  The rows are dealt by archive and offset, so
     large archives are read by many tasks, each from front to back.
     """
 
@@ -285,8 +304,8 @@ def read_records(index: DataFrame) -> DataFrame:
             size = 0
 
             def flush() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-                names = ["page_id", "record_type", "refers_to", "url", "payload", "declared_digest"]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+                names = ["page_id", "record_type", "refers_to", "url", "payload", "declared_digest", "declared_bytes"]
                 return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
 
             for archive, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -294,10 +313,10 @@ def read_records(index: DataFrame) -> DataFrame:
                     fs, path = file_system(archive)
                     name, source = archive, fs.open_input_file(path)
                 source.seek(offset)
-                fields, payload = _member(source.read(length))
+                fields, payload, declared = _member(source.read(length))
                 revisit = fields["warc-type"] == "revisit"
                 digest = fields["warc-payload-digest"].removeprefix("sha256:")
-                rows.append((_id(fields["warc-record-id"]), fields["warc-type"], _id(fields.get("warc-refers-to")), fields["warc-target-uri"], None if revisit else payload, digest))
+                rows.append((_id(fields["warc-record-id"]), fields["warc-type"], _id(fields.get("warc-refers-to")), fields["warc-target-uri"], None if revisit else payload, digest, declared))
                 size += len(payload)
                 if size > READ:
                     yield flush()
@@ -305,6 +324,37 @@ def read_records(index: DataFrame) -> DataFrame:
             if rows:
                 yield flush()
 
-    dealt = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    schema = "page_id long, record_type string, refers_to long, url string, payload binary, declared_digest string"
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a given number is kept as it is: index rows are small, what they stand for is not
+    dealt = index.select("archive", "offset", "length").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
+    schema = "page_id long, record_type string, refers_to long, url string, payload binary, declared_digest string, declared_bytes long"
     return dealt.mapInArrow(run, schema)
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, digest_holds) of records read back.
+
+    A response's size and digest are those of the payload that was read.  A
+    revisit's are the declared ones; they hold if the record that it refers to
+    has a payload of that digest and size.  Revisits are checked by what they
+    claim, one row a claim, and joined with nothing unless a claim is false.
+    """
+    kept = ["page_id", "record_type", "refers_to", "declared_digest", "declared_bytes"]
+    back = materialize(records.select(*kept, F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest")), "records")
+    claims = back.where("record_type = 'revisit'").select(F.col("refers_to").alias("c"), F.col("declared_digest").alias("d"), F.col("declared_bytes").alias("b")).distinct()
+    true = back.where("record_type = 'response'").select(F.col("page_id").alias("c"), F.col("digest").alias("d"), F.col("n").alias("b"))
+    false = materialize(claims.join(true, ["c", "d", "b"], "left_anti"), "false-claims")
+    if false.isEmpty():
+        claimed = back.withColumn("claim", F.lit(True))
+    else:
+        on = F.col("refers_to").eqNullSafe(F.col("c")) & F.col("declared_digest").eqNullSafe(F.col("d")) & F.col("declared_bytes").eqNullSafe(F.col("b"))
+        claimed = back.join(false, on, "left").withColumn("claim", F.col("d").isNull()).drop("c", "d", "b")
+    revisit = F.col("record_type") == "revisit"
+    return claimed.select(
+        "page_id",
+        F.when(revisit, F.col("declared_bytes")).otherwise(F.col("n")).alias("payload_bytes"),
+        F.when(revisit, F.col("declared_digest")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+        F.when(revisit, F.col("claim")).otherwise(F.col("digest") == F.col("declared_digest")).alias("digest_holds"),
+    )
