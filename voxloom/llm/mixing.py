@@ -10,7 +10,9 @@ its target by less than one document however many there are.
 
 Chunks of documents are paired off first; what a chunk leaves open, at most
 one document a source, goes up a reduction tree with ``FAN`` children a node.
-At the root a single document may be left without a partner; it is rounded.
+At the root a single document may be left without a partner; it is taken with
+its probability.  The words that this is off are then given back by settled
+smaller documents, so that every source comes near its target.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from voxloom.llm.blocks import whole_groups
 from voxloom.llm.storage import materialize
 
 CHUNK = 2048  # documents paired off in one leaf
+NEAR = 0.01  # share of its words that a source may be off for the sake of a draw
 FAN = 64  # leaves or nodes that meet in a node
 #: A word of the contract: anything but blank and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,23 +79,35 @@ def pair_off(tags: np.ndarray, sizes: np.ndarray, words: np.ndarray, seed: int,
     return out
 
 
-def close_runs(sizes: np.ndarray, words: np.ndarray, groups: np.ndarray) -> np.ndarray:
+def _give_back(owed: float, sizes: np.ndarray, words: np.ndarray, run: np.ndarray) -> tuple[float, dict[int, float]]:
+    """What is still owed after turning over settled items, larger ones first, and their new words."""
+    turned: dict[int, float] = {}
+    for i in run[np.argsort(-sizes[run], kind="stable")]:
+        change = sizes[i] if words[i] == 0 else -sizes[i]
+        if abs(owed - change) < abs(owed):
+            turned[int(i)] = words[i] + change
+            owed -= change
+    return abs(owed), turned
+
+
+def close_runs(tags: np.ndarray, sizes: np.ndarray, words: np.ndarray, seed: int, groups: np.ndarray) -> np.ndarray:
     """Settle the one item that a run has left, at the root of the tree, where it has no partner.
 
-    It goes to its nearer end.  The words that this is off are given back by
-    turning over settled items of the run, larger ones first, wherever that
-    brings the run nearer to what it should take.
+    It is taken with its probability.  The words that this is off are given
+    back by turning over settled items of the run wherever that brings the run
+    nearer to what it should take; these few leave their expectation by it.
+    Where that leaves the run off by over NEAR of its words more than the other
+    way would, the other way is taken: a source comes near its target first.
     """
     out = words.copy()
     for k in np.flatnonzero((words > 0) & (words < sizes)):
-        out[k] = sizes[k] if 2 * words[k] >= sizes[k] else 0.0
-        owed = words[k] - out[k]
         run = np.flatnonzero((groups == groups[k]) & (np.arange(len(sizes)) != k) & (sizes > 0))
-        for i in run[np.argsort(-sizes[run], kind="stable")]:
-            change = sizes[i] if out[i] == 0 else -sizes[i]
-            if abs(owed - change) < abs(owed):
-                out[i] += change
-                owed -= change
+        drawn = sizes[k] if _uniform(seed, int(tags[k]), -1) * sizes[k] < words[k] else 0.0
+        ways = [(end, *_give_back(words[k] - end, sizes, out, run)) for end in (drawn, sizes[k] - drawn)]
+        end, _, turned = ways[int(ways[0][1] > ways[1][1] + NEAR * words[groups == groups[k]].sum())]
+        out[k] = end
+        for i, w in turned.items():
+            out[i] = w
     return out
 
 
@@ -146,7 +161,7 @@ def _rounder(seed: int, last: bool):
             change = np.concatenate(([0], np.cumsum((node[1:] != node[:-1]) | (src[1:] != src[:-1]))))
             mass = pair_off(get("tag"), size, mass, seed, change)
             if last:
-                mass = close_runs(size, mass, change)
+                mass = close_runs(get("tag"), size, mass, seed, change)
             yield from table.select(["doc_id", "dup", "src", "size", "base"]).append_column("mass", pa.array(mass)).append_column("chunk", table.column("node")).to_batches()
 
     return run
