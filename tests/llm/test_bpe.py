@@ -63,3 +63,10 @@ def test_nulls_repeats_extra_columns_and_empty_table(spark):
     assert {r.doc_id: r.decoded for r in back.collect()} == {1: "", 2: "", 3: "<|endoftext|>"}
     with pytest.raises(ValueError):
         bpe.encode(spark.createDataFrame(rows, schema), PATH, keep=("token_ids",))
+
+
+def test_decode_leaves_out_what_is_no_id(spark, both):
+    rows = [(1, [320, 999_999, 321]), (2, [-1, 320, None]), (3, []), (4, None), (5, [None, 49_408]), (1, [320, 999_999, 321])]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, token_ids array<int>"), PATH).collect()
+    known = lambda ids: [i for i in ids or [] if i is not None and i >= 0]
+    assert sorted((r.doc_id, r.decoded) for r in got) == sorted((i, both[1].decode(known(ids), skip_special_tokens=False)) for i, ids in rows)

@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxloom.llm import mixing, simhash, warc
@@ -34,12 +35,30 @@ def test_warc_round_trip(spark, tmp_path):
     got = {r.page_id: r for r in back}
     assert {i: (r.record_type, r.refers_to) for i, r in got.items() if r.record_type == "revisit"} == {5: ("revisit", 2), 9: ("revisit", 2)}
     for i, _, html in rows:
-        r = got[-1 if i is None else i]
+        r = got[i]
         want = (html or "").encode()
         assert r.declared_digest == hashlib.sha256(want).hexdigest()
         assert r.record_type == "revisit" or bytes(r.payload) == want
 
 
+def test_odd_page_ids_and_revisits_of_a_repeated_id(spark, tmp_path):
+    """Negative and null ids come back as they are; a revisit stands for the payload that it declares."""
+    one, two = "a" * 100, "b" * 150
+    rows = [(-5, "u", one), (-1, "u", one), (7, "u", one), (None, "u", one), (9, "u", two), (9, "u", one + "c"), (11, "u", one + "c"), (12, "u", two)]
+    _, _, back = written(spark, tmp_path, rows)
+    records = spark.createDataFrame(back, "page_id long, record_type string, refers_to long, url string, payload binary, declared_digest string, declared_bytes long")
+    got = sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.digest_holds) for r in warc.checked(records).collect())
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    first = lambda i, html: min(k for k, _, h in rows if k is not None and h == html)
+    want = []
+    for i, _, html in rows:
+        again = i is not None and first(i, html) != i
+        want.append((i is None, i or 0, len(html), digest(html), "revisit" if again else "response", first(i, html) if again else None, True))
+    assert got == sorted(want)
+    lying = records.withColumn("declared_digest", F.when(F.col("page_id") == 7, F.sha2(F.lit("x"), 256)).otherwise(F.col("declared_digest")))
+    assert {r.page_id for r in warc.checked(lying).where("not digest_holds").collect()} == {7}
+
+
 def test_every_record_is_a_member_at_its_offset(spark, tmp_path):
     _, normal, _ = written(spark, tmp_path, [(k, f"http://h/{k}", f"page {k} " * 30) for k in range(20)])
     seen = 0
@@ -101,6 +120,14 @@ def test_search_misses_nothing_within_the_radius(spark, radius, blocks):
     assert got == want
 
 
+def test_fingerprints_of_repeated_rows(spark, tmp_path):
+    """Rows that repeat an id stay as many as they are, each with the count of its own fingerprint."""
+    rows = [(100, "a b c d"), (100, "a b c d"), (200, "a b c d"), (7, "x y z"), (100, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_chars, -1 if r.n_near is None else r.n_near) for r in op6_document_fingerprints(spark, str(tmp_path)).collect())
+    assert got == [(7, 5, -1), (100, 0, 0), (100, 7, 2), (100, 7, 2), (200, 7, 2)]
+
+
 def test_fingerprint_edges(spark):
     rows = [(3, "a b c d"), (1, None), (2, ""), (None, "a b c d"), (3, "a b c d")]
     out = simhash.edited_likeness(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int")).collect()
@@ -163,9 +190,18 @@ def test_the_last_item_of_a_run_is_paid_by_the_others():
     sizes = np.array([3000.0, 400, 90, 60, 20, 5, 1, 3000, 7])
     words = np.array([900.0, 0, 90, 0, 20, 0, 0, 3000, 0])
     groups = np.array([0, 0, 0, 0, 0, 0, 0, 1, 1])
-    out = mixing.close_runs(sizes, words, groups)
-    assert ((out == 0) | (out == sizes)).all() and (out[7:] == words[7:]).all()
-    assert abs(out[:7].sum() - words[:7].sum()) < 450
+    for seed in range(20):
+        out = mixing.close_runs(np.arange(9), sizes, words, seed, groups)
+        assert ((out == 0) | (out == sizes)).all() and (out[7:] == words[7:]).all()
+        assert abs(out[:7].sum() - words[:7].sum()) < 450
+
+
+def test_the_last_item_is_taken_with_its_probability():
+    sizes = np.full(201, 10.0)
+    words = np.where(np.arange(201) % 2 == 0, 10.0, 0.0)
+    words[7] = 3.0
+    taken = [mixing.close_runs(np.arange(201), sizes, words, seed, np.zeros(201))[7] for seed in range(2000)]
+    assert np.mean(taken) == pytest.approx(3.0, abs=0.35)
 
 
 def test_mix_of_nothing(spark):

@@ -224,7 +224,8 @@ class BacktrackingBpe:
         return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The entries' texts with a space between them, gathered through the offset table."""
+        """The entries' texts with a space between them, gathered through the offset table; other numbers are left out."""
+        ids = ids[(ids >= 0) & (ids < len(self.offsets) - 1)]
         if not len(ids):
             return b""
         start, end = self.offsets[ids], self.offsets[ids + 1]
@@ -297,7 +298,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", keep: tuple[str, ...] = ("doc_id", "token_ids"), text_col: str = "decoded") -> DataFrame:
-    """The ``keep`` columns and the text of every array of ids; null ids give an empty text."""
+    """The ``keep`` columns and the text of every array of ids; a null array gives an empty text.
+
+    Ids that the vocabulary does not have, negative ones too, and nulls within
+    an array are left out, as the library leaves them out.
+    """
     if text_col in keep:
         raise ValueError(f"{text_col} is both kept and made")
     box = vocabulary(tokens.sparkSession, path)
@@ -310,7 +315,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", keep: tuple
             for i, j in _pieces(lists, 1 << 18):
                 part = lists.slice(i, j - i)
                 at = np.concatenate(([0], np.cumsum(part.value_lengths().fill_null(0).to_numpy())))
-                flat = part.flatten().to_numpy().astype(np.int64)
+                flat = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = [bpe.decode(flat[at[k] : at[k + 1]]).decode() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(texts, type=pa.string())], names=[*keep, text_col]

@@ -166,36 +166,39 @@ def _linker(p: CapParams):
             fflat, fat = _lists(filters)
             out: list[tuple[int, int, int]] = []
             for lo, hi in zip(bounds, [*bounds[1:], table.num_rows]):
-                size = np.diff(at[lo : hi + 1])
-                if hi - lo < 2 or size.min() != size.max():  # a key of two lengths is a chance hit of hashes
+                if hi - lo < 2:
                     continue
-                unit = unit_rows(flat[at[lo] : at[hi]].reshape(hi - lo, -1))
-                if bi[lo] == bj[lo]:
-                    left = right = np.arange(hi - lo)
-                else:
-                    mine = own[lo:hi] == bi[lo]
-                    left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
-                near = unit[left] @ unit[right].T >= p.cosine
-                near &= (label[lo + left][:, None] == label[lo + right][None, :]) & (ids[lo + left][:, None] != ids[lo + right][None, :])
-                if not near.any():
-                    continue
-                # a pair counts in the least filter it shares
-                own_filters = [fflat[fat[lo + k] : fat[lo + k + 1]] for k in range(hi - lo)]
-                earlier = [f[f < number[lo]] for f in own_filters]
-                local = np.unique(np.concatenate(earlier))
-                if len(local):
-                    marks = np.zeros((hi - lo, len(local)), dtype=np.float32)
-                    for k, f in enumerate(earlier):
-                        marks[k, np.searchsorted(local, f)] = 1
-                    near &= marks[left] @ marks[right].T == 0
-                counts = np.zeros(hi - lo, dtype=np.int64)
-                counts[left] += near @ w[lo + right]
-                if left is not right:
-                    counts[right] += w[lo + left] @ near
-                forest = Forest(hi - lo)
-                for x, y in zip(*np.nonzero(near)):
-                    forest.join(int(left[x]), int(right[y]))
-                out += [(ids[lo + k], ids[lo + forest.root(int(k))], counts[k]) for k in np.flatnonzero(counts)]
+                length = np.diff(at[lo : hi + 1])
+                for d in np.unique(length):  # a key of two lengths is a chance hit of hashes
+                    rows = lo + np.flatnonzero(length == d)
+                    if len(rows) < 2:
+                        continue
+                    unit = unit_rows(np.stack([flat[at[k] : at[k + 1]] for k in rows]))
+                    if bi[lo] == bj[lo]:
+                        left = right = np.arange(len(rows))
+                    else:
+                        mine = own[rows] == bi[lo]
+                        left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
+                    near = unit[left] @ unit[right].T >= p.cosine
+                    near &= (label[rows[left]][:, None] == label[rows[right]][None, :]) & (ids[rows[left]][:, None] != ids[rows[right]][None, :])
+                    if not near.any():
+                        continue
+                    # a pair counts in the least filter it shares
+                    earlier = [f[f < number[lo]] for f in (fflat[fat[k] : fat[k + 1]] for k in rows)]
+                    local = np.unique(np.concatenate(earlier))
+                    if len(local):
+                        marks = np.zeros((len(rows), len(local)), dtype=np.float32)
+                        for k, f in enumerate(earlier):
+                            marks[k, np.searchsorted(local, f)] = 1
+                        near &= marks[left] @ marks[right].T == 0
+                    counts = np.zeros(len(rows), dtype=np.int64)
+                    counts[left] += near @ w[rows[right]]
+                    if left is not right:
+                        counts[right] += w[rows[left]] @ near
+                    forest = Forest(len(rows))
+                    for x, y in zip(*np.nonzero(near)):
+                        forest.join(int(left[x]), int(right[y]))
+                    out += [(ids[rows[k]], ids[rows[forest.root(int(k))]], counts[k]) for k in np.flatnonzero(counts)]
             if out:
                 a, b, n = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])

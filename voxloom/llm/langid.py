@@ -8,7 +8,8 @@ differ, a missing one counting as the length of a profile.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ SAMPLE_DOCS = 500
 UNKNOWN = "und"
 SMALL_SAMPLE = 200_000  # ids of the learning sample up to which it is broadcast
 
+PIECE = 1 << 20  # characters whose n-grams are in memory at a time
+_GAP = re.compile(r"\s")
 _letters: dict[str, np.ndarray] = {}
 
 
@@ -49,9 +52,45 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate((one, two | (1 << 60), three | (2 << 60)))
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text cut at white space into pieces of about PIECE characters; no n-gram spans a cut."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def gram_counts(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all texts, sorted, and how often each occurs; a piece is in memory at a time."""
+    keys, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def settle() -> None:
+        nonlocal keys, counts, size
+        more, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *held]), return_counts=True)
+        every, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        keys, counts = every, np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(every)).astype(np.int64)
+        held.clear()
+        size = 0
+
+    for text in texts:
+        for piece in _pieces(text):
+            held.append(grams(piece))
+            size += len(held[-1])
+            if size > 3 * PIECE:
+                settle()
+    if len(keys):
+        settle()
+        return keys, counts
+    return np.unique(np.concatenate([keys, *held]), return_counts=True)
+
+
 def top_grams(text: str, k: int = PROFILE) -> np.ndarray:
     """The k most frequent n-grams of a text, most frequent first, ties by key."""
-    keys, counts = np.unique(grams(text), return_counts=True)
+    keys, counts = gram_counts([text])
     return keys[np.argsort(-counts, kind="stable")[:k]]
 
 
@@ -89,26 +128,29 @@ def bucket(id_col: str = "doc_id") -> Column:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id") -> Profiles:
     """Profiles of every non-null ``lang`` from documents that are not held out.
 
-    Learns from the ``sample_docs`` documents of least hashed id of each
-    language (500, about 2 MB of text a language); what returns to the driver
-    is PROFILE n-grams a language.  Without labelled rows there is no profile.
+    Learns from the ``sample_docs`` different documents of least hashed id of
+    each language (500, about 2 MB of text a language), also where an id or a
+    row is repeated; what returns to the driver is PROFILE n-grams a language.
+    Without labelled rows there is no profile.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    known = source.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (bucket("id") != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("id").distinct()
-    chosen = chosen.cache()
+    known = source.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (bucket("id") != 0)).withColumn("h", F.xxhash64("text"))
+    key = ["id", "lang", "h"]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
+    # ids of the sample first, then its texts: only they are moved
+    ranked = known.select(*key).withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= sample_docs)
+    chosen = ranked.select(*key).distinct().cache()
     try:
         small = chosen.count() <= SMALL_SAMPLE
-        rows = known.join(F.broadcast(chosen) if small else chosen, "id", "left_semi").select("lang", "text")
+        rows = known.join(F.broadcast(chosen) if small else chosen, key, "left_semi").dropDuplicates(key).select("lang", "text")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                by: dict[str, list[np.ndarray]] = {}
+                by: dict[str, list[str]] = {}
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    by.setdefault(lang, []).append(grams(text or ""))
-                for lang, parts in by.items():
-                    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+                    by.setdefault(lang, []).append(text or "")
+                for lang, texts in by.items():
+                    keys, counts = gram_counts(texts)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), type=pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "gram", "n"])
 
         counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -2,8 +2,9 @@
 
 Everything that outlives one job goes to the folder named by
 ``spark.checkpoint.dir``: the driver and all executors see it, so a lost
-executor loses nothing.  Only where that setting is absent (unit tests on one
-machine) a temporary folder of our own is used.
+executor loses nothing.  Where that setting is absent a temporary folder of our
+own is used if the session is on one machine, as in unit tests; a cluster
+without it is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="voxloom-")
