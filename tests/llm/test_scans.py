@@ -54,6 +54,67 @@ def test_random_strings_are_told_from_identifiers(spark, model):
     assert sum(r.n_random for r in out if r.doc_id >= 1000) == 0
 
 
+def test_random_spans_equal_a_plain_walk_over_the_table(spark, model):
+    """The method's own spans: every token, scored character by character by the two models."""
+    rng = random.Random(5)
+    pool = secrets_scan.ALPHABET
+    bits = [lambda: "".join(rng.choice(pool) for _ in range(rng.randint(5, 60))), lambda: rng.choice(secrets_scan.PARTS), lambda: "_".join(rng.sample(secrets_scan.PARTS, 3)), lambda: "schöne Grüße \U0001f600"]
+    rows = [(k, rng.choice([" ", ".", "\n", ""]).join(rng.choice(bits)() for _ in range(rng.randint(0, 12)))) for k in range(200)]
+    rows += [(900, None), (901, ""), (902, "Zq7" * 2000)]
+    shown = [float(f"{x:.3f}") for x in model]
+
+    def is_random(token):
+        at = [pool.find(c) + 1 for c in token]
+        total = 0.0
+        for a, b in zip(at, at[1:]):
+            total += shown[a * secrets_scan.SIDE + b]
+        return total >= max(secrets_scan.EVIDENCE, (len(token) - 1) * secrets_scan.THRESHOLD)
+
+    want = {i: [(m.start(), m.end()) for m in re.finditer(secrets_scan.TOKEN, t or "") if is_random(m[0])] for i, t in rows}
+    got = {r.doc_id: [(x.s, x.e) for x in r.d] for r in secrets_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == want and sum(map(len, want.values())) > 50
+
+
+def plain_licences(text):
+    """Sentence identifiers and rules by loops over the tables."""
+    if not re.search(licenses.HINT.replace(r"\p{Punct}", r"\W_"), text):
+        return [], []
+    parts = []
+    for mark in re.split(r"(?<=[.!?;:])\s+|\n\s*\n", text, flags=re.A):
+        parts.append(mark)
+        if "\n" in mark:
+            parts += re.split(r"\s*\n\s*", mark, flags=re.A)
+    ids = [licenses.SENTENCES[n] for p in parts if (n := re.sub("[^a-z0-9]+", " ", p.lower()).strip(" ")) in licenses.SENTENCES]
+    found = set()
+    for name, rule in licenses.RULES:
+        at, k = -1, 0
+        for n in rule:
+            want = n.split(" ")
+            at = next((j + len(want) - 1 for j in range(at + 1, len(ids)) if ids[j : j + len(want)] == want), None)
+            if at is None:
+                break
+            k += 1
+        if k == len(rule):
+            found.add(name)
+    if "BSD-3-Clause" in found:
+        found.discard("BSD-2-Clause")
+    return ids, sorted(found)
+
+
+def test_licences_equal_plain_loops(spark, sf):
+    """Known sentences in any order, cut and joined in all ways, and every document of the sample."""
+    rng = random.Random(6)
+    known = rng.sample(sorted(licenses.SENTENCES), 60) + [s for s, i in licenses.SENTENCES.items() if i.split("-")[0] in ("MIT", "BSD", "ZLIB", "ISC", "APACHE2")]
+    ends = [".", ";", ":", "!", ",", ".\n", ";\n\n", "\n \n", " "]
+    rows = [(k, rng.choice(["", "Title\n"]) + " ".join(rng.choice([str.capitalize, str.upper, str])(rng.choice(known)) + rng.choice(ends) for _ in range(rng.randint(0, 9)))) for k in range(300)]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if "SPDX" not in r.text]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in out}
+    for i, t in rows:
+        assert got[i] == plain_licences(t), t
+    assert sum(bool(g[1]) for g in got.values()) > 50
+
+
 def test_licences_by_ordered_sentences(spark):
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     gpl = "See the GNU General Public License for more details. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."

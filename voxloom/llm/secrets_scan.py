@@ -2,7 +2,8 @@
 
 Two first-order Markov models over characters, one of random strings and one
 of ordinary identifiers, are trained from labelled samples.  A token whose
-log-likelihood ratio is high enough is reported as ``random``.  Everything on
+log-likelihood ratio is high enough, in the mean and in all, is reported as
+``random``.  Everything on
 the rows is DataFrame functions: positions come from the lengths of the pieces
 between the matches.
 """
@@ -21,11 +22,14 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Ten characters of 62 are 59 bits, what can just be tried out; a shorter random string hides nothing.
+TOKEN = r"[A-Za-z0-9+/_=-]{10,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1  # place 0 is any other character
 #: Mean log-likelihood ratio of a character from which a token is random.
 THRESHOLD = 1.5
+#: Log-likelihood ratio that a token must have in all, so that short ones need more in the mean.
+EVIDENCE = 22.5
 CHUNK = 512
 
 #: Words that identifiers are made of, for the labelled samples.
@@ -97,11 +101,11 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def log_ratio(token: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's transitions under the two models."""
+    """Log-likelihood ratio of a token's transitions under the two models, summed in order."""
     ratios = F.split(F.lit(",".join(f"{x:.3f}" for x in table)), ",").cast("array<double>")
     at = _places(token)
     inner = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.element_at(ratios, a * SIDE + b + 1))
-    return F.aggregate(inner, F.lit(0.0), lambda s, x: s + x) / F.size(inner)
+    return F.aggregate(inner, F.lit(0.0), lambda s, x: s + x)
 
 
 def _running(steps: Column) -> Column:
@@ -149,7 +153,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x.k + 1), x.s.cast("string"), x.e.cast("string"))), ",")
 
 
-def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, evidence: float = EVIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the arrays of spans (s, k, e) ``base`` and ``found`` of every row.
 
     Spans count code points, the end exclusive; ``k`` is the place in KINDS.
@@ -171,7 +175,7 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, id_c
         found(ASSIGN, 0, lambda g: F.length(g) >= ASSIGN_LEAST).alias("a"),
         found(ACCESS, 1, always).alias("b"),
         found(HEX, 2, always).alias("c"),
-        found(TOKEN, 3, lambda t: log_ratio(t, table) >= threshold).alias("d"),
+        found(TOKEN, 3, lambda t: log_ratio(t, table) >= F.greatest(F.lit(evidence), (F.length(t) - 1) * threshold)).alias("d"),
     )
     rows = rows.select("*", F.sort_array(F.concat("a", "b", "c")).alias("base"))
     return rows.select("doc_id", "a", "b", "c", "d", "base", F.sort_array(F.concat("base", "d")).alias("found"))
