@@ -21,9 +21,10 @@ def place(nodes: DataFrame, poses: DataFrame, last: int | None = None) -> DataFr
 
 
 def node_offsets(nodes: DataFrame) -> DataFrame:
-    """(frame_id, n, base): the global number of each frame's first node.  One row a frame is ordered."""
-    counts = nodes.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)
+    """(frame_id, n, base): the global number of each frame's first node.  One row a frame is ordered, by seq_id where there is one."""
+    seq = ["seq_id"] if "seq_id" in nodes.columns else []
+    counts = nodes.groupBy(*seq, "frame_id").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*seq).orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
@@ -63,30 +64,33 @@ def band_hits(left: DataFrame, right: DataFrame, within: float) -> DataFrame:
     return met.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def update(instances: DataFrame, nodes: DataFrame, matches: DataFrame, origin: tuple[float, float, float], most: float, radius: float = RADIUS) -> DataFrame:
-    """The map after a frame whose nodes are in the world frame.
+def update(instances: DataFrame, nodes: DataFrame, matches: DataFrame, origin: tuple[float, float, float], most: float, radius: float = RADIUS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The map after a frame whose nodes are in the world frame, or one map for each of ``keys``.
 
     A matched instance within ``radius`` moves half way to its node, position
     and size; other nodes enter if good enough and no instance that was there
     before stands near; instances farther than ``most`` from the origin go.
     """
-    cols = ["instance_id", "label", "px", "py", "pz", "dx", "dy", "dz", "points_num"]
-    n = nodes.select("node_id", F.col("label").alias("nl"), "cx", "cy", "cz", *[F.col("d" + c).alias("n" + c) for c in "xyz"], F.col("points_num").alias("np"))
-    met = matches.join(n, "node_id").join(instances.select(F.col("instance_id").alias("map_id"), "px", "py", "pz"), "map_id")
+    cols = [*keys, "instance_id", "label", "px", "py", "pz", "dx", "dy", "dz", "points_num"]
+    n = nodes.select(*keys, "node_id", F.col("label").alias("nl"), "cx", "cy", "cz", *[F.col("d" + c).alias("n" + c) for c in "xyz"], F.col("points_num").alias("np"))
+    met = matches.join(n, [*keys, "node_id"]).join(instances.select(*keys, F.col("instance_id").alias("map_id"), "px", "py", "pz"), [*keys, "map_id"])
     met = met.where(G.distance(G.xyz("c"), G.xyz("p")) < radius)
-    hit = met.select(F.col("map_id").alias("instance_id"), "node_id", "cx", "cy", "cz", "nx", "ny", "nz").dropDuplicates(["instance_id"])
-    old = instances.join(hit, "instance_id", "left")
+    moved = F.min(F.struct("node_id", "cx", "cy", "cz", "nx", "ny", "nz")).alias("_h")  # the first node, where several match
+    hit = met.groupBy(*keys, F.col("map_id").alias("instance_id")).agg(moved).select(*keys, "instance_id", "_h.*").drop("node_id")
+    old = instances.join(hit, [*keys, "instance_id"], "left")
     half = {"p" + c: F.when(F.col("c" + c).isNotNull(), (F.col("p" + c) + F.col("c" + c)) / 2).otherwise(F.col("p" + c)) for c in "xyz"}
     half |= {"d" + c: F.when(F.col("n" + c).isNotNull(), (F.col("d" + c) + F.col("n" + c)) / 2).otherwise(F.col("d" + c)) for c in "xyz"}
     old = old.withColumns(half).select(*[F.col(c).cast("bigint") if c == "instance_id" else F.col(c) for c in cols]).withColumn("old", F.lit(True))
 
-    fresh = filter_new_instance(nodes.join(met.select("node_id").distinct(), "node_id", "left_anti"))
-    candidates = fresh.select(F.col("node_id").alias("point_idx"), "label", *[F.col("c" + c).alias(c) for c in "xyz"], "dx", "dy", "dz", "points_num")
-    there = instances.select("label", *[F.col("p" + c).alias(c) for c in "xyz"])
-    free = without_near(candidates, there, radius)
-    top = instances.agg(F.coalesce(F.max("instance_id"), F.lit(-1)).alias("top"))
-    place_in = F.row_number().over(Window.orderBy("point_idx"))
-    new = free.crossJoin(F.broadcast(top)).select((F.col("top") + place_in).cast("bigint").alias("instance_id"), "label", *[F.col(c).alias("p" + c) for c in "xyz"], "dx", "dy", "dz", "points_num")
+    fresh = filter_new_instance(nodes.join(met.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_anti"))
+    candidates = fresh.select(*keys, F.col("node_id").alias("point_idx"), "label", *[F.col("c" + c).alias(c) for c in "xyz"], "dx", "dy", "dz", "points_num")
+    there = instances.select(*keys, "label", *[F.col("p" + c).alias(c) for c in "xyz"])
+    free = without_near(candidates, there, radius, keys=keys)
+    top = instances.groupBy(*keys).agg(F.max("instance_id").alias("top"))
+    last = F.coalesce("top", F.lit(-1))  # a map may be empty
+    place_in = F.row_number().over(Window.partitionBy(*keys).orderBy("point_idx"))
+    counted = free.join(top, list(keys), "left") if keys else free.join(F.broadcast(top), F.lit(True), "left")
+    new = counted.select(*keys, (last + place_in).cast("bigint").alias("instance_id"), "label", *[F.col(c).alias("p" + c) for c in "xyz"], "dx", "dy", "dz", "points_num")
     new = new.withColumn("old", F.lit(False))
     at = tuple(F.lit(float(v)) for v in origin)
     return old.unionByName(new).where(G.square_distance(G.xyz("p"), at) <= most * most)

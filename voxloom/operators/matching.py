@@ -81,7 +81,7 @@ def match_status(frame_nodes: DataFrame, matches: DataFrame) -> DataFrame:
 def costs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("pair",), most: float = 0.5, size: float = 2.0) -> DataFrame:
     """(pair, i, j, cost): 1 - cosine of descriptors for node pairs of one label and similar size.
 
-    Costs are rounded to 9 places, so rounding errors decide nothing.
+    Costs are compared at 9 places, so rounding errors decide nothing.
     """
     cols = ("node_id", "label", "desc", "dx", "dy", "dz")
     a = left.select(*keys, *[F.col(c).alias("a_" + c) for c in cols])
@@ -89,8 +89,9 @@ def costs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("pair",),
     both = a.join(b.withColumnRenamed("b_label", "a_label"), [*keys, "a_label"])
     for c in ("dx", "dy", "dz"):
         both = both.where(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= size)
-    out = both.withColumn("cost", F.round(1 - G.cosine_similarity(F.col("a_desc"), F.col("b_desc")), 9) + 0.0)
-    return out.where((F.col("cost") <= most) & (F.col("cost") >= 0)).select(*keys, F.col("a_node_id").alias("i"), F.col("b_node_id").alias("j"), "cost")
+    out = both.withColumn("cost", 1 - G.cosine_similarity(F.col("a_desc"), F.col("b_desc")))
+    out = out.where(F.round("cost", 9).between(0, most)).withColumn("cost", F.greatest("cost", F.lit(0.0)))
+    return out.select(*keys, F.col("a_node_id").alias("i"), F.col("b_node_id").alias("j"), "cost")
 
 
 def assign(cost_rows: DataFrame, key: str = "pair") -> DataFrame:
@@ -100,7 +101,7 @@ def assign(cost_rows: DataFrame, key: str = "pair") -> DataFrame:
         rows, cols = np.unique(g.i), np.unique(g.j)
         matrix = np.full((len(rows), len(cols)), 1e8)
         at = (np.searchsorted(rows, g.i), np.searchsorted(cols, g.j))
-        matrix[at] = g.cost
+        matrix[at] = np.round(g.cost, 9)
         taken = assignment(matrix)
         good = [(r, c) for r, c in enumerate(taken) if c >= 0 and matrix[r, c] < 1e8]
         return pd.DataFrame({key: [g[key].iloc[0]] * len(good), "i": [rows[r] for r, _ in good], "j": [cols[c] for _, c in good], "cost": [matrix[r, c] for r, c in good]})

@@ -57,17 +57,24 @@ def nearest_in_cells(queries: DataFrame, targets: DataFrame, size: float, within
 
     Frames have point_idx, x, y, z and ``keys``; the result has the query's
     columns and tid, tx, ty, tz, dist and the target's ``carry`` with a t in
-    front.  Ties go to the smaller target id; no target, no row.
+    front.  Ties go to the smaller target id; no target, no row.  Only ids and
+    positions are copied to cells; other columns are joined to the pairs found.
+    ``keys`` and point_idx tell points of a side apart.
     """
     cells = ("vx", "vy", "vz")
-    t = targets.select(*keys, *G.voxel_key(G.xyz(), size), F.col("point_idx").alias("tid"), *[F.col(c).alias("t" + c) for c in ("x", "y", "z", *carry)])
-    spots = queries.withColumns({n: G.voxel(v, size) for n, v in zip(cells, G.xyz())}).withColumn("_c", F.explode(around()))
-    spots = spots.drop(*cells).select("*", *[F.col(f"_c.{n}").alias(n) for n in cells]).drop("_c")
-    met = spots.join(t, [*keys, *cells]).withColumn("dist", G.distance(G.xyz(), G.xyz("t"))).where(F.col("dist") < within)
     own = [*keys, "point_idx"]
-    others = [c for c in queries.columns if c not in own] + ["tx", "ty", "tz", *["t" + c for c in carry]]
-    best = F.min(F.struct("dist", "tid", *others)).alias("_b")  # one buffer, ordered by distance and then id
-    return met.groupBy(*own).agg(best).select(*own, *[F.col(f"_b.{c}").alias(c) for c in (*others, "tid", "dist")])
+    at = F.col("point_idx").alias("tid")
+    t = targets.select(*keys, *G.voxel_key(G.xyz(), size), at, *[F.col(c).alias("t" + c) for c in "xyz"])
+    spots = queries.select(*own, *"xyz", *G.voxel_key(G.xyz(), size)).withColumn("_c", F.explode(around()))
+    spots = spots.select(*own, *"xyz", *[F.col(f"_c.{n}").alias(n) for n in cells])
+    met = spots.join(t, [*keys, *cells]).select(*own, F.struct(G.distance(G.xyz(), G.xyz("t")).alias("dist"), "tid", "tx", "ty", "tz").alias("_b"))
+    best = met.where(F.col("_b.dist") < within).groupBy(*own).agg(F.min("_b").alias("_b")).select(*own, "_b.*")
+    others = [c for c in queries.columns if c not in own]
+    if others:
+        best = best.join(queries, own)
+    if carry:
+        best = best.join(targets.select(*keys, at, *[F.col(c).alias("t" + c) for c in carry]), [*keys, "tid"])
+    return best.select(*own, *others, "tx", "ty", "tz", *["t" + c for c in carry], "tid", "dist")
 
 
 def first_in_cells(queries: DataFrame, targets: DataFrame, size: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -81,12 +88,11 @@ def first_in_cells(queries: DataFrame, targets: DataFrame, size: float, keys: tu
     return met.groupBy(*keys, "point_idx").agg(F.min_by("tid", "nth").alias("tid"))
 
 
-def without_near(candidates: DataFrame, existing: DataFrame, within: float, size: float = 1.5) -> DataFrame:
-    """Candidates with no existing instance of their label closer than ``within`` in the 27 cells around."""
+def without_near(candidates: DataFrame, existing: DataFrame, within: float, size: float = 1.5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates with no existing instance of their label and ``keys`` closer than ``within`` in the 27 cells around."""
     cells = ("vx", "vy", "vz")
-    e = existing.select(F.col("label").alias("el"), *G.voxel_key(G.xyz(), size), *[F.col(c).alias("e" + c) for c in "xyz"])
-    spots = candidates.select("point_idx", "label", "x", "y", "z", *G.voxel_key(G.xyz(), size)).withColumn("_c", F.explode(around()))
-    spots = spots.select("point_idx", "label", "x", "y", "z", *[F.col(f"_c.{n}").alias(n) for n in cells])
-    on = [spots[n] == e[n] for n in cells] + [spots["label"] == e["el"]]
-    near = spots.join(e, on).where(G.distance(G.xyz(), G.xyz("e")) < within).select("point_idx").distinct()
-    return candidates.join(near, "point_idx", "left_anti")
+    e = existing.select(*keys, "label", *G.voxel_key(G.xyz(), size), *[F.col(c).alias("e" + c) for c in "xyz"])
+    spots = candidates.select(*keys, "point_idx", "label", "x", "y", "z", *G.voxel_key(G.xyz(), size)).withColumn("_c", F.explode(around()))
+    spots = spots.select(*keys, "point_idx", "label", "x", "y", "z", *[F.col(f"_c.{n}").alias(n) for n in cells])
+    near = spots.join(e, [*keys, "label", *cells]).where(G.distance(G.xyz(), G.xyz("e")) < within).select(*keys, "point_idx").distinct()
+    return candidates.join(near, [*keys, "point_idx"], "left_anti")

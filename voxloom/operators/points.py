@@ -62,9 +62,12 @@ def voxel_cascade(points: DataFrame, size: float = 1.0, cluster_size: float = 0.
 
 
 def voxel_cap(points: DataFrame, size: float, cap: int = 20, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("frame_id", "point_idx")) -> DataFrame:
-    """At most ``cap`` points of each voxel, the first ones in ``order``, numbered by ``slot``."""
+    """At most ``cap`` points of each voxel, the first ones in ``order``, numbered by ``slot``.
+
+    The number is compared as it is, so each task keeps ``cap`` rows a voxel before the shuffle.
+    """
     w = Window.partitionBy(*keys, *CELL).orderBy(*order)
-    return with_voxel(points, size).withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < cap)
+    return with_voxel(points, size).withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= cap).withColumn("slot", F.col("slot") - 1)
 
 
 def voxel_buckets(capped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -105,7 +108,7 @@ def normalise_time(points: DataFrame) -> DataFrame:
     return points.withColumn("t", F.when(top < 1, F.col("t")).otherwise(F.col("t") / top))
 
 
-def label_histogram(values: DataFrame, column: str, more_than: int = 10) -> DataFrame:
-    """Values that occur more than ``more_than`` times, most frequent first."""
-    counted = values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
-    return counted.orderBy(F.desc("n"), column)
+def label_histogram(values: DataFrame, column: str, more_than: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Values that occur more than ``more_than`` times, most frequent first, within ``keys``."""
+    counted = values.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+    return counted.orderBy(*keys, F.desc("n"), column)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import geometry as G
 from voxloom.functions.labels import semantic_weight
 from voxloom.operators.nearest import nearest_in_cells
-from voxloom.operators.solvers import se3_exp, solve_step
+from voxloom.operators.solvers import se3_exp, solve_step, to_row
 
 CELL = ("vx", "vy", "vz")
 
@@ -36,9 +36,7 @@ def normal_equations(pairs: DataFrame, th: float | None, weighted: bool = True,
     return rows.groupBy(*keys).agg(*lefts, *rights, F.count(F.lit(1)).alias("n"))
 
 
-def icp_step(points: DataFrame, map_points: DataFrame, th: float, size: float = 1.0, within: float = 6.0) -> np.ndarray:
-    """One registration step: the 27 sums come from the cluster, the 6 x 6 system is solved here."""
-    row = normal_equations(correspondences(points, map_points, size, within), th).first()
+def _motion(row) -> np.ndarray:
     left = np.zeros((6, 6))
     for a in range(6):
         for b in range(a, 6):
@@ -46,6 +44,23 @@ def icp_step(points: DataFrame, map_points: DataFrame, th: float, size: float =
     return se3_exp(solve_step(left, np.array([row[f"b{a}"] or 0.0 for a in range(6)])))
 
 
+def icp_steps(points: DataFrame, map_points: DataFrame, th: float, key: str, size: float = 1.0, within: float = 6.0) -> DataFrame:
+    """(key, n, m): one registration step for each ``key``; a 6 x 6 system a row is all that Python sees."""
+    sums = normal_equations(correspondences(points, map_points, size, within, (key,)), th, keys=(key,))
+
+    def run(batches):
+        for g in batches:
+            yield g[[key, "n"]].assign(m=[to_row(_motion(r)) for _, r in g.iterrows()])
+
+    kind = dict(points.dtypes)[key]
+    return sums.mapInPandas(run, f"{key} {kind}, n long, m array<double>")
+
+
+def icp_step(points: DataFrame, map_points: DataFrame, th: float, size: float = 1.0, within: float = 6.0) -> np.ndarray:
+    """One registration step: the 27 sums come from the cluster, the 6 x 6 system is solved here."""
+    return _motion(normal_equations(correspondences(points, map_points, size, within), th).first())
+
+
 def moments(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Means of both sides and the 9 entries h_ij of sum (a - mean a)(b - mean b)'."""
     n = F.count(F.lit(1)).cast("double")
@@ -83,13 +98,13 @@ def plane_normals(moment_rows: DataFrame, flat: float = 0.005) -> DataFrame:
     return moment_rows.mapInPandas(run, schema)
 
 
-def plane_matches(source: DataFrame, target: DataFrame, size: float = 1.0, parallel: float = 0.2, off: float = 0.5, d2: float = 3.0) -> DataFrame:
+def plane_matches(source: DataFrame, target: DataFrame, size: float = 1.0, parallel: float = 0.2, off: float = 0.5, d2: float = 3.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Nearest target plane in the 27 cells of each source plane, kept if parallel and close.
 
-    Frames are planes of one alignment with an id ``point_idx``.
+    Frames are planes with an id ``point_idx``, of one alignment or of one for each of ``keys``.
     """
-    rename = lambda df: df.select("point_idx", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "nx", "ny", "nz")
-    near = nearest_in_cells(rename(source), rename(target), size, 1e9, carry=("nx", "ny", "nz"))
+    rename = lambda df: df.select(*keys, "point_idx", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "nx", "ny", "nz")
+    near = nearest_in_cells(rename(source), rename(target), size, 1e9, keys, carry=("nx", "ny", "nz"))
     same = F.sqrt(sum((F.col("n" + c) - F.col("tn" + c)) * (F.col("n" + c) - F.col("tn" + c)) for c in "xyz")) < parallel
     against = F.sqrt(sum((F.col("n" + c) + F.col("tn" + c)) * (F.col("n" + c) + F.col("tn" + c)) for c in "xyz")) < parallel
     height = F.abs(sum(F.col("tn" + c) * (F.col(c) - F.col("t" + c)) for c in "xyz"))

@@ -6,13 +6,17 @@ plain arithmetic, so both engines compute equal doubles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.labels import node_class
 from voxloom.operators.points import filter_static, relabel
 
-FRAMES = 20
+#: Frames, sequences and paths grow with the tables; what one of them holds does not.
+ORDERS_A_FRAME = 250
+OBJECTS = 25
+FRAMES_A_SEQUENCE = 20
+EVENTS_A_PATH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("frame_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = rows.withColumn("frame_id", (F.col("l_orderkey") % FRAMES).cast("bigint"))
-    raw = F.element_at(F.array(*map(F.lit, (10, 71, 80, 40, 50))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    rows = rows.withColumn("frame_id", F.floor(F.col("l_orderkey") / ORDERS_A_FRAME).cast("bigint")).withColumn("obj", (F.col("l_suppkey") % OBJECTS).cast("bigint"))
+    raw = F.element_at(F.array(*map(F.lit, (10, 71, 80, 40, 50))), (F.col("obj") % 5 + 1).cast("int"))
     return rows.select(
         "frame_id",
         F.row_number().over(order).cast("bigint").alias("point_idx"),
-        (((F.col("l_suppkey") * 37) % 121) - 60 + F.col("l_discount") * 20).cast("double").alias("x"),
-        (((F.col("l_suppkey") * 53) % 121) - 60 + F.col("l_tax") * 25).cast("double").alias("y"),
+        (((F.col("obj") * 37) % 121) - 60 + F.col("l_discount") * 20).cast("double").alias("x"),
+        (((F.col("obj") * 53) % 121) - 60 + F.col("l_tax") * 25).cast("double").alias("y"),
         (F.col("l_quantity") / 25.0 - 1).cast("double").alias("z"),
         raw.alias("raw_label"),
-        F.col("l_suppkey").cast("bigint").alias("obj"),
+        "obj",
     )
 
 
@@ -67,40 +71,48 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path(spark: SparkSession, sf_dir: str, x) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 1000")
-    pose = F.array(*[v.cast("double") for v in (F.lit(1), F.lit(0), F.lit(0), x, F.lit(0), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(1), F.lit(0))])
-    return rows.select(F.lit("s").alias("seq_id"), F.col("event_id").cast("bigint").alias("frame_id"), pose.alias("m"))
+    rows = table(spark, sf_dir, "events")
+    frame = (F.col("event_id") % EVENTS_A_PATH).cast("bigint")
+    pose = F.array(*[v.cast("double") for v in (F.lit(1), F.lit(0), F.lit(0), frame + x, F.lit(0), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(1), F.lit(0))])
+    path = F.concat(F.lit("s"), F.floor(F.col("event_id") / EVENTS_A_PATH).cast("string"))
+    return rows.select(path.alias("seq_id"), frame.alias("frame_id"), pose.alias("m"))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _path(spark, sf_dir, F.col("event_id"))
+    return _path(spark, sf_dir, F.lit(0))
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _path(spark, sf_dir, F.col("event_id") + F.col("value") / 1000)
+    return _path(spark, sf_dir, F.col("value") / 1000)
 
 
 def frame_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pose for each frame of the scans: a quarter turn every second frame, and a shift."""
-    f = F.col("id")
+    f = F.col("frame_id")
     odd = (f % 2).cast("double")
     even = 1 - odd
     zero, one = F.lit(0.0), F.lit(1.0)
     m = F.array(even, -odd, zero, f * 0.5, odd, even, zero, f * 0.25, zero, zero, one, zero)
-    return spark.range(FRAMES).select(F.lit("s").alias("seq_id"), f.alias("frame_id"), m.alias("m"))
+    frames = raw_points(spark, sf_dir).select("frame_id").distinct()
+    return frames.select(F.lit("s").alias("seq_id"), f.alias("frame_id"), m.alias("m"))
+
+
+def sequence(frame_id: str = "frame_id") -> Column:
+    """The sequence of a frame of the scans."""
+    return F.concat(F.lit("s"), F.floor(F.col(frame_id) / FRAMES_A_SEQUENCE).cast("string"))
 
 
 #: The same in DuckDB: put WITH in front and a query after.
 SQL = """
 pts AS (
-  SELECT (l_orderkey % 20)::BIGINT AS frame_id,
-    row_number() OVER (PARTITION BY l_orderkey % 20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::BIGINT AS point_idx,
-    (((l_suppkey * 37) % 121) - 60 + l_discount * 20)::DOUBLE AS x,
-    (((l_suppkey * 53) % 121) - 60 + l_tax * 25)::DOUBLE AS y,
+  SELECT (l_orderkey // 250)::BIGINT AS frame_id,
+    row_number() OVER (PARTITION BY l_orderkey // 250 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::BIGINT AS point_idx,
+    (((l_suppkey % 25 * 37) % 121) - 60 + l_discount * 20)::DOUBLE AS x,
+    (((l_suppkey % 25 * 53) % 121) - 60 + l_tax * 25)::DOUBLE AS y,
     (l_quantity / 25.0 - 1)::DOUBLE AS z,
-    CASE l_suppkey % 5 WHEN 0 THEN 10 WHEN 1 THEN 71 WHEN 2 THEN 80 WHEN 3 THEN 40 ELSE 50 END AS raw_label,
-    CASE l_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 16 WHEN 2 THEN 18 WHEN 3 THEN 9 ELSE 13 END AS label,
-    l_suppkey::BIGINT AS obj
+    CASE l_suppkey % 25 % 5 WHEN 0 THEN 10 WHEN 1 THEN 71 WHEN 2 THEN 80 WHEN 3 THEN 40 ELSE 50 END AS raw_label,
+    CASE l_suppkey % 25 % 5 WHEN 0 THEN 1 WHEN 1 THEN 16 WHEN 2 THEN 18 WHEN 3 THEN 9 ELSE 13 END AS label,
+    (l_suppkey % 25)::BIGINT AS obj
   FROM lineitem),
 scan AS (SELECT * FROM pts WHERE label < 20 AND sqrt(x*x+y*y+z*z) > 5 AND sqrt(x*x+y*y+z*z) < 100),
 fg AS (SELECT * FROM scan WHERE label IN (1,4,5,16,18)),
@@ -112,9 +124,9 @@ nodes AS (
   FROM (SELECT frame_id, label, obj, min(x) lox, max(x) hix, min(y) loy, max(y) hiy, min(z) loz, max(z) hiz, count(*) n, min(point_idx) AS first
         FROM fg GROUP BY ALL HAVING count(*) >= 10)),
 kf AS (SELECT vec_id::BIGINT AS kf_seq, embedding::DOUBLE[] AS d, label::INT AS label FROM embeddings),
-gt AS (SELECT event_id::BIGINT AS frame_id, event_id::DOUBLE AS tx FROM events WHERE event_id < 1000),
-pr AS (SELECT event_id::BIGINT AS frame_id, event_id + value/1000 AS tx FROM events WHERE event_id < 1000),
-poses AS (SELECT range AS frame_id, (1 - range % 2)::DOUBLE AS c, (range % 2)::DOUBLE AS s, range * 0.5::DOUBLE AS tx, range * 0.25::DOUBLE AS ty FROM range(20)),
+gt AS (SELECT 's' || (event_id // 1000) AS seq_id, (event_id % 1000)::BIGINT AS frame_id, (event_id % 1000)::DOUBLE AS tx FROM events),
+pr AS (SELECT 's' || (event_id // 1000) AS seq_id, (event_id % 1000)::BIGINT AS frame_id, event_id % 1000 + value/1000 AS tx FROM events),
+poses AS (SELECT frame_id, (1 - frame_id % 2)::DOUBLE AS c, (frame_id % 2)::DOUBLE AS s, frame_id * 0.5::DOUBLE AS tx, frame_id * 0.25::DOUBLE AS ty FROM (SELECT DISTINCT frame_id FROM pts)),
 pairs AS (
   SELECT a.frame_id, a.node_id AS i, b.node_id AS j, a.label AS li, b.label AS lj, b.cx AS jx, b.cy AS jy, b.cz AS jz,
     sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz)) AS dist

@@ -134,8 +134,11 @@ def search_loops(nodes: DataFrame, points: DataFrame, every: int = 5, gap: int =
 
 
 def factors(poses: DataFrame, loops: DataFrame | None) -> DataFrame:
-    """(kind, src, dst, rel, var_rot, var_trans): a prior on the first pose, odometry, loops."""
-    row = lambda kind, src, dst, rel, r, t: [F.lit(kind).alias("kind"), src.cast("long").alias("src"), dst.cast("long").alias("dst"), rel.alias("rel"), F.lit(r).alias("var_rot"), F.lit(t).alias("var_trans")]
+    """(seq_id, kind, src, dst, rel, var_rot, var_trans): a prior on the first pose, odometry, loops, a sequence each.
+
+    ``loops`` has seq_id, query_frame, match_frame and rel.
+    """
+    row = lambda kind, src, dst, rel, r, t: ["seq_id", F.lit(kind).alias("kind"), src.cast("long").alias("src"), dst.cast("long").alias("dst"), rel.alias("rel"), F.lit(r).alias("var_rot"), F.lit(t).alias("var_trans")]
     first = poses.groupBy("seq_id").agg(F.min("frame_id").alias("dst"), F.min_by("m", "frame_id").alias("m"))
     out = first.select(*row("prior", F.lit(None), F.col("dst"), F.col("m"), ODOM_ROT, ODOM_TRANS))
     out = out.unionByName(relative_motion(poses).select(*row("odom", F.col("src"), F.col("dst"), F.col("rel"), ODOM_ROT, ODOM_TRANS)))
@@ -147,10 +150,10 @@ def factors(poses: DataFrame, loops: DataFrame | None) -> DataFrame:
 
 def optimise(poses: DataFrame, loops: DataFrame | None, rounds: int = 20) -> DataFrame:
     """Optimised (seq_id, frame_id, m).  The graph of one sequence is one task's work, as its solve is sequential."""
-    edges = factors(poses, loops).withColumn("seq_id", F.lit(None).cast("string"))
+    edges = factors(poses, loops)
     nodes = poses.select("seq_id", "frame_id", "m")
     packed = F.struct("kind", "src", "dst", "rel", "var_rot", "var_trans")
-    whole = edges.agg(F.collect_list(packed).alias("factors"))
+    whole = edges.groupBy("seq_id").agg(F.collect_list(packed).alias("factors"))
     by_seq = nodes.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "m"))).alias("poses"))
 
     def run(batches):
@@ -169,7 +172,7 @@ def optimise(poses: DataFrame, loops: DataFrame | None, rounds: int = 20) -> Dat
                 out += [(r.seq_id, f, N.to_row(m)) for f, m in zip(ids, x)]
             yield pd.DataFrame(out, columns=["seq_id", "frame_id", "m"])
 
-    return by_seq.crossJoin(whole).mapInPandas(run, "seq_id string, frame_id long, m array<double>")
+    return by_seq.join(whole, "seq_id").mapInPandas(run, "seq_id string, frame_id long, m array<double>")
 
 
 def global_graph(nodes: DataFrame, poses: DataFrame, last: int | None = None, back: int = 29) -> DataFrame:

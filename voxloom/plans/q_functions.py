@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
 from voxloom.functions import labels as L
+from voxloom.operators import graph_map as M
 from voxloom.operators import points as P
 from voxloom.operators import trajectory as T
 from voxloom.plans import fixtures as X
@@ -222,36 +223,36 @@ def flt_reloc_trigger(spark, d):
     return e.where((G.translation_norm(F.col("rel")) > 0.6) | (G.rotation_angle(F.col("rel")) > 0.01)).select("src")
 
 
-@query("win_cumdist", oracle("SELECT frame_id, round(sum(step) OVER (ORDER BY frame_id), 5) AS dist FROM (SELECT frame_id, abs(coalesce(tx - lag(tx) OVER (ORDER BY frame_id), 0)) AS step FROM pr)"))
+@query("win_cumdist", oracle("SELECT seq_id, frame_id, round(sum(step) OVER (PARTITION BY seq_id ORDER BY frame_id), 5) AS dist FROM (SELECT seq_id, frame_id, abs(coalesce(tx - lag(tx) OVER (PARTITION BY seq_id ORDER BY frame_id), 0)) AS step FROM pr)"))
 def win_cumdist(spark, d):
-    return T.cumulative_distance(X.predicted(spark, d)).select("frame_id", F.round("dist", 5).alias("dist"))
+    return T.cumulative_distance(X.predicted(spark, d)).select("seq_id", "frame_id", F.round("dist", 5).alias("dist"))
 
 
-ENDS = ", starts AS (SELECT frame_id AS first, unnest([100,200,300,400,500,600,700,800]) AS length FROM gt WHERE frame_id % 10 = 0), ends AS (SELECT first, length, min(g.frame_id) AS last FROM starts s JOIN gt g ON g.tx > s.first + s.length GROUP BY 1, 2)"
+ENDS = ", starts AS (SELECT seq_id, frame_id AS first, unnest([100,200,300,400,500,600,700,800]) AS length FROM gt WHERE frame_id % 10 = 0), ends AS (SELECT s.seq_id, first, length, min(g.frame_id) AS last FROM starts s JOIN gt g ON g.seq_id = s.seq_id AND g.tx > s.first + s.length GROUP BY 1, 2, 3)"
 
 
-@query("win_step", oracle(ENDS + " SELECT first, length::INT AS length FROM starts"))
+@query("win_step", oracle(ENDS + " SELECT seq_id, first, length::INT AS length FROM starts"))
 def win_step(spark, d):
     frames = X.truth(spark, d).where(F.col("frame_id") % T.STEP == 0)
-    return frames.select(F.col("frame_id").alias("first"), F.explode(F.array(*map(F.lit, T.LENGTHS))).alias("length"))
+    return frames.select("seq_id", F.col("frame_id").alias("first"), F.explode(F.array(*map(F.lit, T.LENGTHS))).alias("length"))
 
 
-@query("join_segment_end", oracle(ENDS + " SELECT first, length::INT AS length, last FROM ends"))
+@query("join_segment_end", oracle(ENDS + " SELECT seq_id, first, length::INT AS length, last FROM ends"))
 def join_segment_end(spark, d):
-    return T.segment_ends(T.cumulative_distance(X.truth(spark, d))).select("first", "length", "last")
+    return T.segment_ends(T.cumulative_distance(X.truth(spark, d))).select("seq_id", "first", "length", "last")
 
 
-@query("join_traj", oracle("SELECT frame_id, round(gt.tx, 5) AS g, round(pr.tx, 5) AS p FROM gt JOIN pr USING (frame_id)"))
+@query("join_traj", oracle("SELECT seq_id, frame_id, round(gt.tx, 5) AS g, round(pr.tx, 5) AS p FROM gt JOIN pr USING (seq_id, frame_id)"))
 def join_traj(spark, d):
-    return T.join_truth(X.truth(spark, d), X.predicted(spark, d)).select("frame_id", F.round(F.col("gt")[3], 5).alias("g"), F.round(F.col("pr")[3], 5).alias("p"))
+    return T.join_truth(X.truth(spark, d), X.predicted(spark, d)).select("seq_id", "frame_id", F.round(F.col("gt")[3], 5).alias("g"), F.round(F.col("pr")[3], 5).alias("p"))
 
 
-@query("agg_rmse", oracle("SELECT 's' AS seq_id, round(sqrt(avg((pr.tx-gt.tx)*(pr.tx-gt.tx))), 6) AS ate_rmse, 0.0::DOUBLE AS rot_rmse_deg FROM gt JOIN pr USING (frame_id)"))
+@query("agg_rmse", oracle("SELECT seq_id, round(sqrt(avg((pr.tx-gt.tx)*(pr.tx-gt.tx))), 6) AS ate_rmse, 0.0::DOUBLE AS rot_rmse_deg FROM gt JOIN pr USING (seq_id, frame_id) GROUP BY 1"))
 def agg_rmse(spark, d):
     return T.absolute_errors(T.join_truth(X.truth(spark, d), X.predicted(spark, d))).select("seq_id", R6(F.col("ate_rmse"), "ate_rmse"), R6(F.col("rot_rmse_deg"), "rot_rmse_deg"))
 
 
-DRIFT = oracle(ENDS + " SELECT 's' AS seq_id, round(avg(abs((b.tx-a.tx)-(h.tx-g.tx))/length)*100, 6) AS trans_pct, 0.0::DOUBLE AS rot_deg_100m FROM ends e JOIN pr a ON a.frame_id = e.first JOIN pr b ON b.frame_id = e.last JOIN gt g ON g.frame_id = e.first JOIN gt h ON h.frame_id = e.last")
+DRIFT = oracle(ENDS + " SELECT e.seq_id, round(avg(abs((b.tx-a.tx)-(h.tx-g.tx))/length)*100, 6) AS trans_pct, 0.0::DOUBLE AS rot_deg_100m FROM ends e JOIN pr a ON a.seq_id = e.seq_id AND a.frame_id = e.first JOIN pr b ON b.seq_id = e.seq_id AND b.frame_id = e.last JOIN gt g ON g.seq_id = e.seq_id AND g.frame_id = e.first JOIN gt h ON h.seq_id = e.seq_id AND h.frame_id = e.last GROUP BY 1")
 
 
 @query("agg_drift", DRIFT)
@@ -267,23 +268,23 @@ def agg_metrics(spark, d):
     return T.mean_metrics(long).select("metric", R6(F.col("value"), "value"))
 
 
-@query("agg_running_rms", oracle("SELECT frame_id, round(coalesce(sqrt(sum(CASE WHEN e > 0.1 THEN e*e END) OVER w / count(CASE WHEN e > 0.1 THEN 1 END) OVER w), 2.0), 6) AS sigma FROM (SELECT frame_id, abs(pr.tx - gt.tx)*2 AS e FROM gt JOIN pr USING (frame_id)) WINDOW w AS (ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+@query("agg_running_rms", oracle("SELECT seq_id, frame_id, round(coalesce(sqrt(sum(CASE WHEN e > 0.1 THEN e*e END) OVER w / count(CASE WHEN e > 0.1 THEN 1 END) OVER w), 2.0), 6) AS sigma FROM (SELECT seq_id, frame_id, abs(pr.tx - gt.tx)*2 AS e FROM gt JOIN pr USING (seq_id, frame_id)) WINDOW w AS (PARTITION BY seq_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
 def agg_running_rms(spark, d):
     pairs = T.join_truth(X.truth(spark, d), X.predicted(spark, d))
     rows = pairs.select("seq_id", "frame_id", (F.abs(F.col("pr")[3] - F.col("gt")[3]) * 2).alias("error"))
-    return T.adaptive_threshold(rows).select("frame_id", R6(F.col("sigma"), "sigma"))
+    return T.adaptive_threshold(rows).select("seq_id", "frame_id", R6(F.col("sigma"), "sigma"))
 
 
-@query("agg_runtime", "SELECT event_id::BIGINT AS frame_id, round(avg(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_ms FROM events WHERE event_id < 1000")
+@query("agg_runtime", "SELECT event_id::BIGINT AS frame_id, round(avg(value) OVER (PARTITION BY event_id // 1000 ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_ms FROM events")
 def agg_runtime(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = X.table(spark, d, "events").where("event_id < 1000")
+    w = Window.partitionBy(F.floor(F.col("event_id") / X.EVENTS_A_PATH)).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = X.table(spark, d, "events")
     return rows.select(F.col("event_id").cast("bigint").alias("frame_id"), R6(F.avg("value").over(w), "mean_ms"))
 
 
-@query("win_keyframe", oracle("SELECT frame_id, frame_id // 5 AS kf_seq FROM gt WHERE frame_id % 5 = 0"))
+@query("win_keyframe", oracle("SELECT seq_id, frame_id, frame_id // 5 AS kf_seq FROM gt WHERE frame_id % 5 = 0"))
 def win_keyframe(spark, d):
-    return T.keyframes(X.truth(spark, d)).select("frame_id", "kf_seq")
+    return T.keyframes(X.truth(spark, d)).select("seq_id", "frame_id", "kf_seq")
 
 
 @query("fn_calib", oracle("SELECT frame_id, round(ty, 6) AS x, round(-tx, 6) AS y, round(c, 6) AS c FROM poses"))
@@ -318,9 +319,14 @@ def fn_deskew(spark, d):
     return T.deskew(rows.select("frame_id", "point_idx", "x", "y", "z", "label", "t"), ends)
 
 
-@query("num_horn")
+@query("num_horn", oracle("SELECT frame_id, [c, s, 0.0, round(-(c*tx + s*ty), 5)+0.0, -s+0.0, c, 0.0, round(s*tx - c*ty, 5)+0.0, 0.0, 0.0, 1.0, 0.0]::DOUBLE[] AS align FROM poses WHERE frame_id IN (SELECT frame_id FROM nodes GROUP BY 1 HAVING count(*) >= 4)"))
 def num_horn(spark, d):
-    return T.alignment(T.join_truth(X.truth(spark, d), X.predicted(spark, d)))
+    """Objects seen from each pose, aligned with where they are: the pose undone."""
+    n = X.nodes(spark, d)
+    placed = M.place(n, X.frame_poses(spark, d)).join(n.groupBy("frame_id").agg(F.count(F.lit(1)).alias("k")).where("k >= 4"), "frame_id")
+    at = lambda x, y, z: F.array(*[F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in (1, 0, 0, x, 0, 1, 0, y, 0, 0, 1, z)])
+    pairs = placed.select(F.col("frame_id").cast("string").alias("seq_id"), at("cx", "cy", "cz").alias("gt"), at("x", "y", "z").alias("pr"))
+    return T.alignment(pairs).select(F.col("seq_id").cast("bigint").alias("frame_id"), F.transform("align", lambda v: F.round(v, 5) + 0.0).alias("align"))
 
 
 @query("evaluate_trajectory")
@@ -328,22 +334,22 @@ def evaluate_trajectory(spark, d):
     return T.evaluate(X.truth(spark, d), X.predicted(spark, d))
 
 
-TWISTS = "SELECT range AS k, range * 0.1::DOUBLE AS v, (1 + range % 7) * 0.1::DOUBLE AS w FROM range(50)"
+TWISTS = "SELECT event_id::BIGINT AS k, (event_id % 50) * 0.1::DOUBLE AS v, (1 + event_id % 7) * 0.1::DOUBLE AS w FROM events"
 
 
-def _twists(spark):
-    k = spark.range(50).select(F.col("id").alias("k"))
+def _twists(spark, d):
+    k = X.table(spark, d, "events").select(F.col("event_id").cast("bigint").alias("k"))
     zero = F.lit(0.0)
-    return k.select("k", F.array(F.col("k") * 0.1, zero, zero, zero, zero, (1 + F.col("k") % 7) * 0.1).alias("x"))
+    return k.select("k", F.array(F.col("k") % 50 * 0.1, zero, zero, zero, zero, (1 + F.col("k") % 7) * 0.1).alias("x"))
 
 
 @query("fn_se3_exp", f"SELECT k, round(v*sin(w)/w, 6) AS x, round(v*(1-cos(w))/w, 6) AS y, round(cos(w), 6) AS c FROM ({TWISTS})")
 def fn_se3_exp(spark, d):
-    m = T.exponential(_twists(spark))
+    m = T.exponential(_twists(spark, d))
     return m.select("k", R6(F.col("m")[3], "x"), R6(F.col("m")[7], "y"), R6(F.col("m")[0], "c"))
 
 
 @query("fn_se3_log", f"SELECT k, round(v, 6) AS v, round(w, 6) AS w FROM ({TWISTS})")
 def fn_se3_log(spark, d):
-    x = T.logarithm(T.exponential(_twists(spark)))
+    x = T.logarithm(T.exponential(_twists(spark, d)))
     return x.select("k", R6(F.col("x")[0], "v"), R6(F.col("x")[5], "w"))

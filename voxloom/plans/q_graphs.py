@@ -12,6 +12,7 @@ from voxloom.plans import fixtures as X
 from voxloom.plans.catalog import query
 from voxloom.plans.fixtures import oracle
 from voxloom.plans.q_functions import FAST, VALUES
+from voxloom.plans.scratch import cut
 
 R6 = lambda c, name: F.round(c, 6).alias(name)
 
@@ -21,10 +22,10 @@ def join_edges(spark, d):
     return S.edges(X.nodes(spark, d)).select("frame_id", "i", "j", R6(F.col("dist"), "dist"), R6(F.col("weight"), "weight"))
 
 
-@query("join_map_edges", oracle(", m AS (SELECT (frame_id*10000+node_id)::INT AS id, label, cx + frame_id AS x, cy AS y, cz AS z FROM nodes WHERE frame_id < 3) SELECT a.id AS i, b.id AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS dist FROM m a JOIN m b ON a.id < b.id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 60"))
+@query("join_map_edges", oracle(", m AS (SELECT frame_id // 3 AS map, (frame_id*10000+node_id)::INT AS id, label, cx + frame_id AS x, cy AS y, cz AS z FROM nodes) SELECT a.id AS i, b.id AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS dist FROM m a JOIN m b ON a.map = b.map AND a.id < b.id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 60"))
 def join_map_edges(spark, d):
-    n = X.nodes(spark, d).where("frame_id < 3")
-    m = n.select(F.lit(0).alias("frame_id"), (F.col("frame_id") * 10000 + F.col("node_id")).cast("int").alias("node_id"), "label", (F.col("cx") + F.col("frame_id")).alias("cx"), "cy", "cz")
+    n = X.nodes(spark, d)
+    m = n.select(F.floor(F.col("frame_id") / 3).alias("frame_id"), (F.col("frame_id") * 10000 + F.col("node_id")).cast("int").alias("node_id"), "label", (F.col("cx") + F.col("frame_id")).alias("cx"), "cy", "cz")
     return S.edges(m).select("i", "j", R6(F.col("dist"), "dist"))
 
 
@@ -110,11 +111,13 @@ def agg_cell_priority(spark, d):
     return D.label_cells(X.scan(spark, d))
 
 
-@query("agg_cell_sim", oracle(BEST + ", ij AS (SELECT a.range AS a, b.range AS b FROM range(20) a JOIN range(20) b ON a.range < b.range), u AS (SELECT ij.a, ij.b, c.ring, c.sector, c.label AS l, NULL AS r FROM ij JOIN cl c ON c.frame_id = ij.a UNION ALL SELECT ij.a, ij.b, c.ring, c.sector, NULL, c.label FROM ij JOIN cl c ON c.frame_id = ij.b), m AS (SELECT a, b, ring, sector, max(l) AS l, max(r) AS r FROM u GROUP BY 1,2,3,4) SELECT a, b, round(avg(CASE WHEN l = r THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS similarity FROM m GROUP BY 1, 2"))
+@query("agg_cell_sim", oracle(BEST + ", ij AS (SELECT a.frame_id AS a, b.frame_id AS b FROM poses a JOIN poses b ON b.frame_id BETWEEN a.frame_id + 1 AND a.frame_id + 5), u AS (SELECT ij.a, ij.b, c.ring, c.sector, c.label AS l, NULL AS r FROM ij JOIN cl c ON c.frame_id = ij.a UNION ALL SELECT ij.a, ij.b, c.ring, c.sector, NULL, c.label FROM ij JOIN cl c ON c.frame_id = ij.b), m AS (SELECT a, b, ring, sector, max(l) AS l, max(r) AS r FROM u GROUP BY 1,2,3,4) SELECT a, b, round(avg(CASE WHEN l = r THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS similarity FROM m GROUP BY 1, 2"))
 def agg_cell_sim(spark, d):
-    ids = spark.range(X.FRAMES)
-    pair_rows = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-    return D.cell_similarity(D.label_cells(X.scan(spark, d)), pair_rows).select("a", "b", R6(F.col("similarity"), "similarity"))
+    """Each frame with the five after it."""
+    ids = cut(X.raw_points(spark, d).select(F.col("frame_id").alias("b")).distinct(), "frames")
+    ahead = ids.select(F.col("b").alias("a"), F.explode(F.sequence(F.col("b") + 1, F.col("b") + 5)).alias("b"))
+    pair_rows = cut(ahead.join(ids, "b").select("a", "b"), "pairs")
+    return D.cell_similarity(cut(D.label_cells(X.scan(spark, d)), "cells"), pair_rows).select("a", "b", R6(F.col("similarity"), "similarity"))
 
 
 TRI = """
@@ -145,10 +148,10 @@ def gr_build(spark, d):
     return both.select("frame_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.round(F.coalesce("weight", F.lit(0.0)), 3).alias("weight"))
 
 
-@query("gr_rebuild", oracle(", m AS (SELECT 0 AS frame_id, (frame_id*10000+node_id)::INT AS node_id, label, cx, cy, cz FROM nodes WHERE frame_id < 3) SELECT a.node_id, ((b.label-1)*30 + floor(sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz))/2))::INT AS slot, count(*) AS n FROM m a JOIN m b USING (frame_id) WHERE sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz)) < 60 GROUP BY 1, 2"))
+@query("gr_rebuild", oracle(", m AS (SELECT frame_id // 3 AS frame_id, (frame_id*10000+node_id)::INT AS node_id, label, cx, cy, cz FROM nodes) SELECT a.node_id, ((b.label-1)*30 + floor(sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz))/2))::INT AS slot, count(*) AS n FROM m a JOIN m b USING (frame_id) WHERE sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz)) < 60 GROUP BY 1, 2"))
 def gr_rebuild(spark, d):
-    n = X.nodes(spark, d).where("frame_id < 3")
-    m = n.select(F.lit(0).alias("frame_id"), (F.col("frame_id") * 10000 + F.col("node_id")).cast("int").alias("node_id"), "label", "cx", "cy", "cz")
+    n = X.nodes(spark, d)
+    m = n.select(F.floor(F.col("frame_id") / 3).alias("frame_id"), (F.col("frame_id") * 10000 + F.col("node_id")).cast("int").alias("node_id"), "label", "cx", "cy", "cz")
     return S.node_histogram(m).select("node_id", "slot", "n")
 
 

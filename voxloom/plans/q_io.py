@@ -56,24 +56,25 @@ def _pose_file(spark, poses):
     return path
 
 
-POSES = oracle("SELECT frame_id, round(tx, 9) AS x FROM pr")
+POSES = oracle("SELECT seq_id, frame_id, round(tx, 9) AS x FROM pr")
 
 
 @query("src_poses_py", POSES)
 def src_poses_py(spark, d):
-    return S_.read_poses(spark, _pose_file(spark, X.predicted(spark, d))).select("frame_id", F.round(F.col("m")[3], 9).alias("x"))
+    return S_.read_poses(spark, _pose_file(spark, X.predicted(spark, d))).select("seq_id", "frame_id", F.round(F.col("m")[3], 9).alias("x"))
 
 
-@query("src_poses_cpp", oracle("SELECT frame_id, round(tx, 9) AS px, 1.0::DOUBLE AS w FROM pr"))
+@query("src_poses_cpp", oracle("SELECT seq_id, frame_id, round(tx, 9) AS px, 1.0::DOUBLE AS w FROM pr"))
 def src_poses_cpp(spark, d):
     p = S_.read_poses(spark, _pose_file(spark, X.predicted(spark, d))).withColumn("q", S_.quaternion(F.col("m")))
-    return p.select("frame_id", F.round("q.px", 9).alias("px"), "q.w")
+    return p.select("seq_id", "frame_id", F.round("q.px", 9).alias("px"), "q.w")
 
 
-@query("snk_odom", oracle("SELECT frame_id, concat_ws(' ', '1.0000000000000000', '0.0000000000000000', '0.0000000000000000') AS head FROM pr"))
+@query("snk_odom", oracle("SELECT seq_id, frame_id, concat_ws(' ', '1.0000000000000000', '0.0000000000000000', '0.0000000000000000') AS head FROM pr"))
 def snk_odom(spark, d):
-    p = X.predicted(spark, d).select("frame_id", S_.pose_line(F.col("m")).alias("line"))
-    return p.select("frame_id", F.substring_index("line", " ", 3).alias("head"))
+    """The lines of the written files."""
+    p = S_.pose_lines(spark, _pose_file(spark, X.predicted(spark, d)))
+    return p.select("seq_id", F.col("n").cast("bigint").alias("frame_id"), F.substring_index("line", " ", 3).alias("head"))
 
 
 @query("snk_poses_py", POSES)
@@ -86,7 +87,7 @@ def snk_pgo(spark, d):
     """The whole trajectory is written anew each time."""
     path = _pose_file(spark, X.truth(spark, d))
     S_.write_poses(X.predicted(spark, d), path)
-    return S_.read_poses(spark, path).select("frame_id", F.round(F.col("m")[3], 9).alias("x"))
+    return S_.read_poses(spark, path).select("seq_id", "frame_id", F.round(F.col("m")[3], 9).alias("x"))
 
 
 @query("src_calib", "SELECT * FROM (VALUES ('P0', 1.0::DOUBLE), ('Tr', 2.0::DOUBLE)) t(key, first)")
@@ -148,9 +149,13 @@ def snk_loop_cloud(spark, d):
     return snk_global_cloud(spark, d).where("frame_id % 5 = 0")
 
 
-@query("snk_tf", oracle("SELECT frame_id, tx AS x, ty AS y FROM poses"))
+@query("snk_tf", oracle("SELECT frame_id, tx AS x, ty AS y, s = 1 AS turned FROM poses"))
 def snk_tf(spark, d):
-    return X.frame_poses(spark, d).select("frame_id", F.col("m")[3].alias("x"), F.col("m")[7].alias("y"))
+    """Transforms as they are sent: appended to a table, position and quaternion."""
+    path = fresh(spark, "tf")
+    q = S_.quaternion(F.col("m"))
+    X.frame_poses(spark, d).select("frame_id", q.alias("q")).select("frame_id", "q.*").write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("frame_id", F.col("px").alias("x"), F.col("py").alias("y"), (F.col("w") < 0.9).alias("turned"))
 
 
 @query("snk_topics", oracle("SELECT 'nodes' AS topic, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'scan', count(*) FROM scan"))
@@ -167,8 +172,8 @@ def nn_persist(spark, d):
     return spark.read.parquet(path).select("kf_seq", "label")
 
 
-@query("pose_factors_back", oracle("SELECT frame_id - 1 AS src, frame_id AS dst FROM pr WHERE frame_id > 0"))
+@query("pose_factors_back", oracle("SELECT seq_id, frame_id - 1 AS src, frame_id AS dst FROM pr WHERE frame_id > 0"))
 def pose_factors_back(spark, d):
-    return T.relative_motion(S_.read_poses(spark, _pose_file(spark, X.predicted(spark, d)))).select("src", "dst")
+    return T.relative_motion(S_.read_poses(spark, _pose_file(spark, X.predicted(spark, d)))).select("seq_id", "src", "dst")
 
 

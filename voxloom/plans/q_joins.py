@@ -133,67 +133,69 @@ def nn_dynamic(spark, d):
     return N.radius(v, corpus, 1.5, ("label",)).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
 
 
-MAPPED = ", m AS (SELECT row_number() OVER (ORDER BY frame_id, point_idx) AS tid, x, y, z FROM scan WHERE frame_id < 3), s AS (SELECT frame_id*1000000 + point_idx AS pid, x + 0.1 AS x, y, z, label FROM scan WHERE frame_id = 3)"
+MAPPED = ", m AS (SELECT frame_id + 1 AS frame_id, frame_id*1000000 + point_idx AS tid, x, y, z FROM scan), s AS (SELECT frame_id, frame_id*1000000 + point_idx AS pid, x + 0.1 AS x, y, z, label FROM scan)"
 CELLMATCH = """
 , mc AS (SELECT *, trunc(x/1.0)::BIGINT vx, trunc(y/1.0)::BIGINT vy, trunc(z/1.0)::BIGINT vz FROM m),
 sc AS (SELECT *, trunc(x/1.0)::BIGINT vx, trunc(y/1.0)::BIGINT vy, trunc(z/1.0)::BIGINT vz FROM s),
-nn AS (SELECT pid, s.label, s.x, s.y, s.z, t.tid, t.x AS tx, t.y AS ty, t.z AS tz, sqrt((s.x-t.x)*(s.x-t.x)+(s.y-t.y)*(s.y-t.y)+(s.z-t.z)*(s.z-t.z)) AS dist
-  FROM sc s JOIN mc t ON abs(s.vx-t.vx) <= 1 AND abs(s.vy-t.vy) <= 1 AND abs(s.vz-t.vz) <= 1),
+nn AS (SELECT s.frame_id, pid, s.label, s.x, s.y, s.z, t.tid, t.x AS tx, t.y AS ty, t.z AS tz, sqrt((s.x-t.x)*(s.x-t.x)+(s.y-t.y)*(s.y-t.y)+(s.z-t.z)*(s.z-t.z)) AS dist
+  FROM sc s JOIN mc t ON s.frame_id = t.frame_id AND abs(s.vx-t.vx) <= 1 AND abs(s.vy-t.vy) <= 1 AND abs(s.vz-t.vz) <= 1),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY dist, tid) AS r FROM nn WHERE dist < 6) WHERE r = 1)"""
 
 
 def _pair(spark, d):
-    s = X.scan(spark, d)
-    w = Window.orderBy("frame_id", "point_idx")
-    m = s.where("frame_id < 3").withColumn("point_idx", F.row_number().over(w).cast("bigint")).select("point_idx", "x", "y", "z")
-    q = s.where("frame_id = 3").select((F.col("frame_id") * 1000000 + F.col("point_idx")).alias("point_idx"), (F.col("x") + 0.1).alias("x"), "y", "z", "label")
-    return q, m
+    """Every frame, a little moved, and the frame before it as its map."""
+    s = X.scan(spark, d).withColumn("point_idx", F.col("frame_id") * 1000000 + F.col("point_idx"))
+    m = s.select((F.col("frame_id") + 1).alias("frame_id"), "point_idx", "x", "y", "z")
+    return s.select("frame_id", "point_idx", (F.col("x") + 0.1).alias("x"), "y", "z", "label"), m
+
+
+KEY = ("frame_id",)
 
 
 @query("join_voxel_nn", oracle(MAPPED + CELLMATCH + " SELECT pid AS point_idx, tid, round(dist, 6) AS dist FROM best"))
 def join_voxel_nn(spark, d):
-    return R.correspondences(*_pair(spark, d)).select("point_idx", "tid", R6(F.col("dist"), "dist"))
+    return R.correspondences(*_pair(spark, d), keys=KEY).select("point_idx", "tid", R6(F.col("dist"), "dist"))
 
 
 @query("join_voxel_nn_loop", oracle(MAPPED + CELLMATCH.replace("dist < 6", "dist < 0.5") + " SELECT pid AS point_idx, tid FROM best"))
 def join_voxel_nn_loop(spark, d):
-    return R.correspondences(*_pair(spark, d), within=0.5).select("point_idx", "tid")
+    return R.correspondences(*_pair(spark, d), within=0.5, keys=KEY).select("point_idx", "tid")
 
 
-@query("flt_corr_dist", oracle(MAPPED + CELLMATCH.replace("dist < 6", "dist < 0.8") + " SELECT count(*) AS n FROM best"))
+@query("flt_corr_dist", oracle(MAPPED + CELLMATCH.replace("dist < 6", "dist < 0.8") + " SELECT frame_id, count(*) AS n FROM best GROUP BY 1"))
 def flt_corr_dist(spark, d):
-    return R.correspondences(*_pair(spark, d), within=0.8).agg(F.count(F.lit(1)).alias("n"))
+    return R.correspondences(*_pair(spark, d), within=0.8, keys=KEY).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("top_closest", oracle(MAPPED + CELLMATCH + " SELECT pid AS point_idx, tid FROM best"))
 def top_closest(spark, d):
-    return R.correspondences(*_pair(spark, d)).select("point_idx", "tid")
+    return R.correspondences(*_pair(spark, d), keys=KEY).select("point_idx", "tid")
 
 
-@query("set_corr_concat", oracle(MAPPED + CELLMATCH + " SELECT count(*) AS n, sum(tid)::BIGINT AS s FROM best"))
+@query("set_corr_concat", oracle(MAPPED + CELLMATCH + " SELECT frame_id, count(*) AS n, sum(tid)::BIGINT AS s FROM best GROUP BY 1"))
 def set_corr_concat(spark, d):
-    return R.correspondences(*_pair(spark, d)).agg(F.count(F.lit(1)).alias("n"), F.sum("tid").alias("s"))
+    return R.correspondences(*_pair(spark, d), keys=KEY).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tid").alias("s"))
 
 
 WEIGHTED = f", w AS (SELECT *, 4.0/((2 + dist*dist)*(2 + dist*dist)) AS w, sw.v::DOUBLE AS sw FROM best JOIN (VALUES {VALUES(L.WEIGHT)}) sw(label, v) USING (label))"
 
 
-@query("agg_normal_eq", oracle(MAPPED + CELLMATCH + WEIGHTED + " SELECT count(*) AS n, round(sum(w), 4) AS a00, round(sum(w*z), 4) AS a04, round(sum(-w*y), 4) AS a05, round(sum(w*(y*y+z*z)), 3) AS a33, round(sum(-w*x*y), 3) AS a34, round(sum(w*sw*(x-tx)), 4) AS b0, round(sum(w*sw*(-z*(y-ty) + y*(z-tz))), 4) AS b3 FROM w"))
+@query("agg_normal_eq", oracle(MAPPED + CELLMATCH + WEIGHTED + " SELECT frame_id, count(*) AS n, round(sum(w), 4) AS a00, round(sum(w*z), 4) AS a04, round(sum(-w*y), 4) AS a05, round(sum(w*(y*y+z*z)), 3) AS a33, round(sum(-w*x*y), 3) AS a34, round(sum(w*sw*(x-tx)), 4) AS b0, round(sum(w*sw*(-z*(y-ty) + y*(z-tz))), 4) AS b3 FROM w GROUP BY 1"))
 def agg_normal_eq(spark, d):
-    e = R.normal_equations(R.correspondences(*_pair(spark, d)), 2.0)
-    return e.select("n", *[F.round(c, n).alias(c) for c, n in (("a00", 4), ("a04", 4), ("a05", 4), ("a33", 3), ("a34", 3), ("b0", 4), ("b3", 4))])
+    e = R.normal_equations(R.correspondences(*_pair(spark, d), keys=KEY), 2.0, keys=KEY)
+    return e.select("frame_id", "n", *[F.round(c, n).alias(c) for c, n in (("a00", 4), ("a04", 4), ("a05", 4), ("a33", 3), ("a34", 3), ("b0", 4), ("b3", 4))])
 
 
-@query("agg_normal_eq_plain", oracle(MAPPED + CELLMATCH.replace("dist < 6", "dist < 0.5") + " SELECT count(*) AS n, round(count(*)::DOUBLE, 4) AS a00, round(sum(x*x+y*y), 1) AS a55, round(sum(z-tz), 4) AS b2 FROM best"))
+@query("agg_normal_eq_plain", oracle(MAPPED + CELLMATCH.replace("dist < 6", "dist < 0.5") + " SELECT frame_id, count(*) AS n, round(count(*)::DOUBLE, 4) AS a00, round(sum(x*x+y*y), 1) AS a55, round(sum(z-tz), 4) AS b2 FROM best GROUP BY 1"))
 def agg_normal_eq_plain(spark, d):
-    e = R.normal_equations(R.correspondences(*_pair(spark, d), within=0.5), None, weighted=False)
-    return e.select("n", F.round("a00", 4).alias("a00"), F.round("a55", 1).alias("a55"), F.round("b2", 4).alias("b2"))
+    e = R.normal_equations(R.correspondences(*_pair(spark, d), within=0.5, keys=KEY), None, weighted=False, keys=KEY)
+    return e.select("frame_id", "n", F.round("a00", 4).alias("a00"), F.round("a55", 1).alias("a55"), F.round("b2", 4).alias("b2"))
 
 
-@query("agg_cross_cov", oracle(MAPPED + CELLMATCH + " SELECT count(*) AS n, round(avg(x), 5) AS m_x, round(avg(tx), 5) AS m_tx, round(sum(x*tx) - sum(x)*sum(tx)/count(*), 2) AS h_xx, round(sum(x*ty) - sum(x)*sum(ty)/count(*), 2) AS h_xy FROM best"))
+@query("agg_cross_cov", oracle(MAPPED + CELLMATCH + " SELECT frame_id, count(*) AS n, round(avg(x), 5) AS m_x, round(avg(tx), 5) AS m_tx, round(sum(x*tx) - sum(x)*sum(tx)/count(*), 2) AS h_xx, round(sum(x*ty) - sum(x)*sum(ty)/count(*), 2) AS h_xy FROM best GROUP BY 1"))
 def agg_cross_cov(spark, d):
-    m = R.moments(R.correspondences(*_pair(spark, d)))
-    return m.select("n", F.round("m_x", 5).alias("m_x"), F.round("m_tx", 5).alias("m_tx"), F.round("h_xx", 2).alias("h_xx"), F.round("h_xy", 2).alias("h_xy"))
+    m = R.moments(R.correspondences(*_pair(spark, d), keys=KEY), KEY)
+    return m.select("frame_id", "n", F.round("m_x", 5).alias("m_x"), F.round("m_tx", 5).alias("m_tx"), F.round("h_xx", 2).alias("h_xx"), F.round("h_xy", 2).alias("h_xy"))
 
 
 @query("agg_plane", oracle("SELECT frame_id, vx, vy, vz, count(*) AS n, round(avg(x), 9) AS cx, round(avg(x*x)-avg(x)*avg(x), 9) AS xx, round(avg(x*y)-avg(x)*avg(y), 9) AS xy, round(avg(z*z)-avg(z)*avg(z), 9) AS zz FROM (SELECT *, trunc(x/1.0)::BIGINT vx, trunc(y/1.0)::BIGINT vy, trunc(z/1.0)::BIGINT vz FROM bg) GROUP BY 1,2,3,4 HAVING count(*) >= 8"))
@@ -212,45 +214,48 @@ def top_min_eig(spark, d):
     return R.plane_normals(R.plane_moments(P.background(X.scan(spark, d))), flat=1e9).select("frame_id", "vx", "vy", "vz", "nx", "ny", "nz", "least")
 
 
-def _planes(spark, d, frame):
-    p = R.plane_normals(R.plane_moments(P.background(X.scan(spark, d)).where(f"frame_id = {frame}"), least=4), flat=1e9)
-    return p.withColumn("point_idx", F.xxhash64("vx", "vy", "vz"))
+def _planes(spark, d):
+    """The planes of every frame, and those of the frame after it."""
+    p = R.plane_normals(R.plane_moments(P.background(X.scan(spark, d)), least=4), flat=1e9)
+    p = p.withColumn("point_idx", F.xxhash64("vx", "vy", "vz"))
+    return p, p.withColumn("frame_id", F.col("frame_id") - 1)
 
 
 @query("join_plane_nn")
 def join_plane_nn(spark, d):
-    return R.plane_matches(_planes(spark, d, 0), _planes(spark, d, 1)).select("point_idx", "tid", "dist")
+    return R.plane_matches(*_planes(spark, d), keys=KEY).select("frame_id", "point_idx", "tid", "dist")
 
 
 @query("flt_plane_pair")
 def flt_plane_pair(spark, d):
-    return R.plane_matches(_planes(spark, d, 0), _planes(spark, d, 1), parallel=0.1).select("point_idx", "tid", "dist")
+    return R.plane_matches(*_planes(spark, d), parallel=0.1, keys=KEY).select("frame_id", "point_idx", "tid", "dist")
 
 
 FIRSTCELL = """
-, tc AS (SELECT trunc(x/0.2)::BIGINT vx, trunc(y/0.2)::BIGINT vy, trunc(z/0.2)::BIGINT vz, min(tid) AS tid FROM m GROUP BY 1,2,3),
-qc AS (SELECT pid, trunc(x/0.2)::BIGINT vx, trunc(y/0.2)::BIGINT vy, trunc(z/0.2)::BIGINT vz FROM s),
-h AS (SELECT pid, t.tid, (t.vx-q.vx+1)*9 + (t.vy-q.vy+1)*3 + (t.vz-q.vz+1) AS nth FROM qc q JOIN tc t ON abs(q.vx-t.vx) <= 1 AND abs(q.vy-t.vy) <= 1 AND abs(q.vz-t.vz) <= 1)"""
+, tc AS (SELECT frame_id, trunc(x/0.2)::BIGINT vx, trunc(y/0.2)::BIGINT vy, trunc(z/0.2)::BIGINT vz, min(tid) AS tid FROM m GROUP BY 1,2,3,4),
+qc AS (SELECT frame_id, pid, trunc(x/0.2)::BIGINT vx, trunc(y/0.2)::BIGINT vy, trunc(z/0.2)::BIGINT vz FROM s),
+h AS (SELECT pid, t.tid, (t.vx-q.vx+1)*9 + (t.vy-q.vy+1)*3 + (t.vz-q.vz+1) AS nth FROM qc q JOIN tc t ON q.frame_id = t.frame_id AND abs(q.vx-t.vx) <= 1 AND abs(q.vy-t.vy) <= 1 AND abs(q.vz-t.vz) <= 1)"""
 
 
 @query("join_ransac_cell", oracle(MAPPED + FIRSTCELL + " SELECT pid AS point_idx, arg_min(tid, nth) AS tid FROM h GROUP BY 1"))
 def join_ransac_cell(spark, d):
-    return N.first_in_cells(*_pair(spark, d), 0.2)
+    return N.first_in_cells(*_pair(spark, d), 0.2, KEY).drop("frame_id")
 
 
-INST = ", e AS (SELECT label, cx AS x, cy AS y, cz AS z FROM nodes WHERE frame_id < 2), c AS (SELECT frame_id*10000 + node_id AS point_idx, label, cx + 0.3 AS x, cy AS y, cz AS z FROM nodes WHERE frame_id = 2)"
+INST = ", e AS (SELECT frame_id + k AS frame_id, label, cx AS x, cy AS y, cz AS z FROM nodes, (VALUES (1), (2)) t(k)), c AS (SELECT frame_id, frame_id*10000 + node_id AS point_idx, label, cx + 0.3 AS x, cy AS y, cz AS z FROM nodes)"
 
 
 def _instances(spark, d):
+    """The objects of every frame, a little moved, and those of the two frames before it."""
     n = X.nodes(spark, d)
-    e = n.where("frame_id < 2").select("label", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    c = n.where("frame_id = 2").select((F.col("frame_id") * 10000 + F.col("node_id")).alias("point_idx"), "label", (F.col("cx") + 0.3).alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    e = n.select(F.explode(F.sequence(F.col("frame_id") + 1, F.col("frame_id") + 2)).alias("frame_id"), "label", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    c = n.select("frame_id", (F.col("frame_id") * 10000 + F.col("node_id")).alias("point_idx"), "label", (F.col("cx") + 0.3).alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     return c, e
 
 
-@query("join_nms", oracle(INST + " SELECT point_idx FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.label = c.label AND abs(trunc(e.x/1.5)-trunc(c.x/1.5)) <= 1 AND abs(trunc(e.y/1.5)-trunc(c.y/1.5)) <= 1 AND abs(trunc(e.z/1.5)-trunc(c.z/1.5)) <= 1 AND sqrt((e.x-c.x)*(e.x-c.x)+(e.y-c.y)*(e.y-c.y)+(e.z-c.z)*(e.z-c.z)) < 0.5)"))
+@query("join_nms", oracle(INST + " SELECT point_idx FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.frame_id = c.frame_id AND e.label = c.label AND abs(trunc(e.x/1.5)-trunc(c.x/1.5)) <= 1 AND abs(trunc(e.y/1.5)-trunc(c.y/1.5)) <= 1 AND abs(trunc(e.z/1.5)-trunc(c.z/1.5)) <= 1 AND sqrt((e.x-c.x)*(e.x-c.x)+(e.y-c.y)*(e.y-c.y)+(e.z-c.z)*(e.z-c.z)) < 0.5)"))
 def join_nms(spark, d):
-    return N.without_near(*_instances(spark, d), 0.5).select("point_idx")
+    return N.without_near(*_instances(spark, d), 0.5, keys=KEY).select("point_idx")
 
 
 def _described(spark, d):
@@ -332,12 +337,12 @@ def join_triangles(spark, d):
     return M.band_hits(t, t.withColumn("frame_id", F.col("frame_id") - 1), 0.3)
 
 
-GLOBAL = ", g AS (SELECT frame_id, node_id, label, cx AS x, cy AS y, cz AS z FROM nodes WHERE node_id < 3)"
+GLOBAL = ", g AS (SELECT frame_id, node_id, label, cx AS x, cy AS y, cz AS z FROM nodes)"
 NEARBY = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 60"
 
 
 def _new(spark, d):
-    n = X.nodes(spark, d).where("node_id < 3")
+    n = X.nodes(spark, d)
     return n.select("frame_id", "node_id", "label", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
 
 
@@ -361,9 +366,12 @@ def join_pose(spark, d):
     return M.place(X.nodes(spark, d), X.frame_poses(spark, d)).select("frame_id", "node_id", "label", *[R6(F.col(c), c) for c in "xyz"])
 
 
-@query("gm_global", oracle("SELECT frame_id, node_id, label, round(c*cx - s*cy + tx, 6) AS x, round(s*cx + c*cy + ty, 6) AS y FROM nodes JOIN poses USING (frame_id) WHERE frame_id <= 9"))
+@query("gm_global", oracle("SELECT frame_id, node_id, label, round(c*cx - s*cy + tx, 6) AS x, round(s*cx + c*cy + ty, 6) AS y FROM nodes JOIN poses USING (frame_id) WHERE frame_id < (SELECT max(frame_id) FROM poses)"))
 def gm_global(spark, d):
-    return M.place(X.nodes(spark, d), X.frame_poses(spark, d), last=9).select("frame_id", "node_id", "label", R6(F.col("x"), "x"), R6(F.col("y"), "y"))
+    """All frames are optimised but the last."""
+    poses = X.frame_poses(spark, d)
+    last = poses.agg(F.max("frame_id")).first()[0] - 1
+    return M.place(X.nodes(spark, d), poses, last=last).select("frame_id", "node_id", "label", R6(F.col("x"), "x"), R6(F.col("y"), "y"))
 
 
 @query("set_unseen", oracle("SELECT frame_id, node_id FROM nodes WHERE (frame_id, node_id) NOT IN (SELECT frame_id + 1, node_id FROM nodes WHERE node_id % 2 = 0)"))
@@ -374,24 +382,35 @@ def set_unseen(spark, d):
 
 
 @query("gm_update_step", oracle(
-    ", m AS (SELECT node_id AS instance_id, label, cx AS px, cy AS py, cz AS pz, dx, dy, dz FROM nodes WHERE frame_id = 0), f AS (SELECT node_id, label, cx, cy, cz, dx, dy, dz, points_num FROM nodes WHERE frame_id = 1), j AS (SELECT f.*, m.px, m.py, m.pz, m.dx AS mx, sqrt((f.cx-m.px)*(f.cx-m.px)+(f.cy-m.py)*(f.cy-m.py)+(f.cz-m.pz)*(f.cz-m.pz)) AS dist FROM f JOIN m ON f.node_id = m.instance_id) SELECT m.instance_id::BIGINT AS instance_id, m.label, round(CASE WHEN j.dist < 2 THEN (m.px+j.cx)/2 ELSE m.px END, 6) AS px, round(CASE WHEN j.dist < 2 THEN (m.dx+j.dx)/2 ELSE m.dx END, 6) AS dx FROM m LEFT JOIN j ON j.node_id = m.instance_id"
+    ", m AS (SELECT frame_id + 1 AS frame_id, node_id AS instance_id, label, cx AS px, cy AS py, cz AS pz, dx, dy, dz FROM nodes WHERE frame_id + 1 IN (SELECT frame_id FROM nodes)), f AS (SELECT frame_id, node_id, label, cx, cy, cz, dx, dy, dz, points_num FROM nodes), j AS (SELECT f.*, m.px, m.py, m.pz, m.dx AS mx, sqrt((f.cx-m.px)*(f.cx-m.px)+(f.cy-m.py)*(f.cy-m.py)+(f.cz-m.pz)*(f.cz-m.pz)) AS dist FROM f JOIN m ON f.frame_id = m.frame_id AND f.node_id = m.instance_id) SELECT m.frame_id, m.instance_id::BIGINT AS instance_id, m.label, round(CASE WHEN j.dist < 2 THEN (m.px+j.cx)/2 ELSE m.px END, 6) AS px, round(CASE WHEN j.dist < 2 THEN (m.dx+j.dx)/2 ELSE m.dx END, 6) AS dx FROM m LEFT JOIN j ON j.frame_id = m.frame_id AND j.node_id = m.instance_id"
 ))
 def gm_update_step(spark, d):
-    """The part of the map that was there before: matched instances move half way."""
+    """The part of each map that was there before: matched instances move half way."""
+    out = M.update(*_map_and_frame(spark, d), (0.0, 0.0, 0.0), 1e9, keys=KEY)
+    return out.where("old").select("frame_id", "instance_id", "label", R6(F.col("px"), "px"), R6(F.col("dx"), "dx"))
+
+
+def _map_and_frame(spark, d):
+    """The objects of each frame as a map, those of the frame after it, and pairs of equal number."""
     n = X.nodes(spark, d)
     rename = {c: "p" + c[1] for c in ("cx", "cy", "cz")}
-    m = n.where("frame_id = 0").withColumnsRenamed({**rename, "node_id": "instance_id"}).drop("frame_id")
-    f = n.where("frame_id = 1").drop("frame_id")
-    matches = f.join(m.select(F.col("instance_id").alias("map_id")), F.col("node_id") == F.col("map_id")).select("node_id", "map_id")
-    out = M.update(m, f, matches, (0.0, 0.0, 0.0), 1e9)
-    return out.where("old").select("instance_id", "label", R6(F.col("px"), "px"), R6(F.col("dx"), "dx"))
+    m = n.withColumn("frame_id", F.col("frame_id") + 1).join(n.select("frame_id").distinct(), "frame_id", "left_semi").withColumnsRenamed({**rename, "node_id": "instance_id"})
+    matches = n.join(m.select("frame_id", F.col("instance_id").alias("map_id")), "frame_id").where("node_id = map_id").select("frame_id", "node_id", "map_id")
+    return m, n.join(m.select("frame_id").distinct(), "frame_id", "left_semi"), matches
 
 
-@query("gm_update")
+GM = """
+, m AS (SELECT frame_id + 1 AS frame_id, node_id AS instance_id, label, cx AS px, cy AS py, cz AS pz, points_num FROM nodes WHERE frame_id + 1 IN (SELECT frame_id FROM nodes)),
+f AS (SELECT * FROM nodes WHERE frame_id IN (SELECT frame_id FROM m)),
+j AS (SELECT f.*, m.px, m.py, m.pz FROM f JOIN m ON f.frame_id = m.frame_id AND f.node_id = m.instance_id WHERE sqrt((f.cx-m.px)*(f.cx-m.px)+(f.cy-m.py)*(f.cy-m.py)+(f.cz-m.pz)*(f.cz-m.pz)) < 2),
+held AS (SELECT m.frame_id, m.label, coalesce((m.px+j.cx)/2, m.px) AS px, coalesce((m.py+j.cy)/2, m.py) AS py, coalesce((m.pz+j.cz)/2, m.pz) AS pz, m.points_num FROM m LEFT JOIN j ON j.frame_id = m.frame_id AND j.node_id = m.instance_id),
+fresh AS (SELECT frame_id, label, cx, cy, cz, points_num FROM f WHERE (frame_id, node_id) NOT IN (SELECT frame_id, node_id FROM j) AND CASE WHEN label = 1 THEN points_num >= 50 AND dx >= 1 AND dy >= 1 AND dz >= 1 ELSE dz >= 1 END
+  AND NOT EXISTS (SELECT 1 FROM m WHERE m.frame_id = f.frame_id AND m.label = f.label AND abs(trunc(m.px/1.5)-trunc(f.cx/1.5)) <= 1 AND abs(trunc(m.py/1.5)-trunc(f.cy/1.5)) <= 1 AND abs(trunc(m.pz/1.5)-trunc(f.cz/1.5)) <= 1 AND sqrt((m.px-f.cx)*(m.px-f.cx)+(m.py-f.cy)*(m.py-f.cy)+(m.pz-f.cz)*(m.pz-f.cz)) < 2))
+SELECT frame_id, label, round(px, 6) AS px, round(py, 6) AS py, points_num FROM (SELECT * FROM held UNION ALL SELECT * FROM fresh) WHERE px*px + py*py + pz*pz <= 3600"""
+
+
+@query("gm_update", oracle(GM))
 def gm_update(spark, d):
-    n = X.nodes(spark, d)
-    rename = {c: "p" + c[1] for c in ("cx", "cy", "cz")}
-    m = n.where("frame_id = 0").withColumnsRenamed({**rename, "node_id": "instance_id"}).drop("frame_id")
-    f = n.where("frame_id = 1").drop("frame_id")
-    matches = f.join(m.select(F.col("instance_id").alias("map_id")), F.col("node_id") == F.col("map_id")).select("node_id", "map_id")
-    return M.update(m, f, matches, (0.0, 0.0, 0.0), 60.0)
+    """Each map after the frame that follows it, instances within 60 m."""
+    out = M.update(*_map_and_frame(spark, d), (0.0, 0.0, 0.0), 60.0, keys=KEY)
+    return out.select("frame_id", "label", R6(F.col("px"), "px"), R6(F.col("py"), "py"), "points_num")

@@ -58,22 +58,22 @@ def agg_voxel_cascade(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-CAP = f"SELECT vx, vy, vz, slot, frame_id, point_idx FROM (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY frame_id, point_idx) - 1 AS slot FROM (SELECT *, {VOX(1.0)} FROM scan)) WHERE slot < 20"
+CAP = f"SELECT vx, vy, vz, slot, frame_id, point_idx, x, y, z, label FROM (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY frame_id, point_idx) - 1 AS slot FROM (SELECT *, {VOX(1.0)} FROM scan)) WHERE slot < 20"
 
 
-@query("agg_voxel_cap", oracle(CAP.replace("slot,", "slot::INT AS slot,", 1)))
+@query("agg_voxel_cap", oracle(CAP.replace("slot,", "slot::INT AS slot,", 1).replace(", x, y, z, label FROM", " FROM", 1)))
 def agg_voxel_cap(spark, d):
     return P.voxel_cap(X.scan(spark, d), 1.0).select(*P.CELL, "slot", "frame_id", "point_idx")
 
 
-@query("agg_voxel_dump", oracle(f", cap AS ({CAP}) SELECT vx, vy, vz, slot::INT AS slot, x, y, z, label FROM cap JOIN scan USING (frame_id, point_idx)"))
+@query("agg_voxel_dump", oracle(f", cap AS ({CAP}) SELECT vx, vy, vz, slot::INT AS slot, x, y, z, label FROM cap"))
 def agg_voxel_dump(spark, d):
     return P.voxel_dump(P.voxel_buckets(P.voxel_cap(X.scan(spark, d), 1.0))).select(*P.CELL, "slot", "x", "y", "z", "label")
 
 
 @query(
     "flt_voxel_radius",
-    oracle(f", cap AS ({CAP}), first AS (SELECT vx, vy, vz FROM cap JOIN scan USING (frame_id, point_idx) WHERE slot = 0 AND (x-10)*(x-10)+(y-5)*(y-5)+z*z <= 900) SELECT vx, vy, vz, slot::INT AS slot, frame_id, point_idx FROM cap JOIN first USING (vx, vy, vz)"),
+    oracle(f", cap AS MATERIALIZED ({CAP}), first AS (SELECT vx, vy, vz FROM cap WHERE slot = 0 AND (x-10)*(x-10)+(y-5)*(y-5)+z*z <= 900) SELECT vx, vy, vz, slot::INT AS slot, frame_id, point_idx FROM cap JOIN first USING (vx, vy, vz)"),
 )
 def flt_voxel_radius(spark, d):
     return P.drop_far_voxels(P.voxel_cap(X.scan(spark, d), 1.0), (10, 5, 0), 30.0).select(*P.CELL, "slot", "frame_id", "point_idx")
@@ -82,7 +82,7 @@ def flt_voxel_radius(spark, d):
 @query("set_map_append", oracle(f"SELECT vx, vy, vz, count(*) AS held FROM ({CAP}) GROUP BY 1,2,3"))
 def set_map_append(spark, d):
     s = X.scan(spark, d)
-    both = s.where("frame_id < 10").unionByName(s.where("frame_id >= 10"))
+    both = s.where("frame_id % 20 < 10").unionByName(s.where("frame_id % 20 >= 10"))
     return P.voxel_cap(both, 1.0).groupBy(*P.CELL).agg(F.count(F.lit(1)).alias("held"))
 
 
@@ -92,17 +92,17 @@ def set_union_points(spark, d):
     return P.foreground(s).unionByName(P.background(s)).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_idx").alias("s"))
 
 
-@query("flt_remove_noise", oracle("SELECT obj, count(*) AS n FROM fg WHERE frame_id = 0 GROUP BY obj HAVING count(*) > 10"))
+@query("flt_remove_noise", oracle("SELECT frame_id, obj, count(*) AS n FROM fg GROUP BY 1, 2 HAVING count(*) > 10"))
 def flt_remove_noise(spark, d):
-    return P.label_histogram(P.foreground(X.scan(spark, d)).where("frame_id = 0"), "obj").select("obj", "n")
+    return P.label_histogram(P.foreground(X.scan(spark, d)), "obj", keys=("frame_id",)).select("frame_id", "obj", "n")
 
 
-@query("srt_cluster", oracle("SELECT obj, n, row_number() OVER (ORDER BY n DESC, obj)::INT AS place FROM (SELECT obj, count(*) AS n FROM fg WHERE frame_id = 0 GROUP BY obj HAVING count(*) > 10)"))
+@query("srt_cluster", oracle("SELECT frame_id, obj, n, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, obj)::INT AS place FROM (SELECT frame_id, obj, count(*) AS n FROM fg GROUP BY 1, 2 HAVING count(*) > 10)"))
 def srt_cluster(spark, d):
-    counted = P.label_histogram(P.foreground(X.scan(spark, d)).where("frame_id = 0"), "obj")
+    counted = P.label_histogram(P.foreground(X.scan(spark, d)), "obj", keys=("frame_id",))
     from pyspark.sql import Window
 
-    return counted.select("obj", "n", F.row_number().over(Window.orderBy(F.desc("n"), "obj")).alias("place"))
+    return counted.select("frame_id", "obj", "n", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("n"), "obj")).alias("place"))
 
 
 @query("src_mulran_time", oracle("SELECT frame_id, point_idx, CASE WHEN count(*) OVER (PARTITION BY frame_id) <> 65536 THEN 1.0::DOUBLE ELSE floor(point_idx/64)/1024 END AS t FROM pts"))

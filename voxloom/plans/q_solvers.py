@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.functions import geometry as G
+from voxloom.operators import graph_map as M
 from voxloom.operators import points as P
 from voxloom.operators import registration as R
 from voxloom.plans import fixtures as X
@@ -14,49 +16,47 @@ from voxloom.plans.fixtures import oracle
 from voxloom.plans.q_joins import _costs, _pair, _sides
 from voxloom.plans.q_points import VOX
 
-SMALL = "frame_id < 4"
-
-
 def _scan(spark, d):
     s = X.scan(spark, d)
-    return s.withColumn("seq_id", F.lit("s")).select("seq_id", "frame_id", "point_idx", "x", "y", "z", "label")
+    return s.select(X.sequence().alias("seq_id"), "frame_id", "point_idx", "x", "y", "z", "label")
 
 
 @query("icp_step")
 def icp_step(spark, d):
+    """One step of every frame on the one before it."""
     q, m = _pair(spark, d)
-    motion = R.icp_step(q, m, 2.0)
-    return spark.createDataFrame([(r, *map(float, motion[r])) for r in range(3)], "row int, a double, b double, c double, t double")
+    return R.icp_steps(q, m, 2.0, "frame_id")
+
+
+#: A rotation's rows are unit vectors and it keeps volumes.
+RIGID = "abs(sqrt(m[0]*m[0] + m[1]*m[1] + m[2]*m[2]) - 1) < 1e-6 and abs(m[0]*(m[5]*m[10] - m[6]*m[9]) - m[1]*(m[4]*m[10] - m[6]*m[8]) + m[2]*(m[4]*m[9] - m[5]*m[8]) - 1) < 1e-6"
 
 
-@query("icp_frame")
+@query("icp_frame", oracle(f"SELECT 's' || (frame_id // 20) AS seq_id, frame_id, count(*) AS points, true AS rigid FROM (SELECT DISTINCT frame_id, vx, vy, vz FROM (SELECT *, {VOX(0.5)} FROM scan)) GROUP BY 1, 2"))
 def icp_frame(spark, d):
-    return O.odometry(_scan(spark, d)).select("seq_id", "frame_id", "m")
+    """Every frame registered: the points that it had for the map, and that its pose is a motion."""
+    return O.odometry(_scan(spark, d)).select("seq_id", "frame_id", "points", F.expr(RIGID).alias("rigid"))
 
 
 @query("ctl_front")
 def ctl_front(spark, d):
-    return O.odometry(_scan(spark, d))
+    """The whole front end: objects and graphs a frame, then poses, matches, relocalisation and both maps a sequence."""
+    return O.front_end(_scan(spark, d))
 
 
-VM = f"SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY frame_id, point_idx) - 1 AS slot FROM (SELECT *, {VOX(1.0)} FROM scan WHERE {SMALL})"
+VM = f"SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY frame_id, point_idx) - 1 AS slot FROM (SELECT *, {VOX(1.0)} FROM scan)"
 
 
-@query("vm_update", oracle(f", cap AS (SELECT * FROM ({VM}) WHERE slot < 20), near AS (SELECT vx, vy, vz FROM cap WHERE slot = 0 AND x*x+y*y+z*z <= 10000) SELECT vx, vy, vz, slot::INT AS slot, x, y, z, label FROM cap JOIN near USING (vx, vy, vz)".replace("near AS", "close AS").replace("JOIN near", "JOIN close")))
+@query("vm_update", oracle(f", cap AS MATERIALIZED (SELECT * FROM ({VM}) WHERE slot < 20), close AS (SELECT vx, vy, vz FROM cap WHERE slot = 0 AND x*x+y*y+z*z <= 10000) SELECT vx, vy, vz, slot::INT AS slot, x, y, z, label FROM cap JOIN close USING (vx, vy, vz)"))
 def vm_update(spark, d):
     """The point map after the frames: capped voxels around the last pose."""
-    capped = P.voxel_cap(X.scan(spark, d).where(SMALL), 1.0)
+    capped = P.voxel_cap(X.scan(spark, d), 1.0)
     return P.drop_far_voxels(capped, (0, 0, 0), 100.0).select(*P.CELL, "slot", "x", "y", "z", "label")
 
 
 MATCHES = "SELECT a.frame_id AS pair, count(*) AS n FROM nodes a JOIN nodes b ON b.frame_id = a.frame_id + 1 AND a.node_id = b.node_id AND a.label = b.label GROUP BY 1"
 
 
-@query("num_svd")
-def num_svd(spark, d):
-    return B.aligned(_matches(spark, d))
-
-
 def _matches(spark, d):
     n = X.nodes(spark, d)
     b = n.select((F.col("frame_id") - 1).alias("frame_id"), "node_id", "label", *[F.col("c" + c).alias("t" + c) for c in "xyz"])
@@ -69,51 +69,117 @@ def match_counts(spark, d):
     return _matches(spark, d).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _consensus(spark, d, mode):
-    n = X.nodes(spark, d)
-    left = n.select(F.col("frame_id").alias("pair"), *[F.col("c" + c).alias(c) for c in "xyz"])
-    right = n.select((F.col("frame_id") - 1).alias("pair"), *[F.col("c" + c).alias(c) for c in "xyz"])
-    return B.consensus_by_pair(_matches(spark, d), left, right, mode, iterations=100)
+def _seen(spark, d, wrong: int = 0):
+    """Each frame's objects matched with themselves as its pose moves them; with ``wrong``, every so many is off by 5 m."""
+    placed = M.place(X.nodes(spark, d), X.frame_poses(spark, d)).select(
+        F.col("frame_id").alias("pair"), F.col("node_id").alias("i"), F.col("node_id").alias("j"), *[F.col("c" + c).alias("s" + c) for c in "xyz"], *[F.col(c).alias("t" + c) for c in "xyz"]
+    )
+    rows = placed.withColumnsRenamed({"s" + c: c for c in "xyz"})
+    left, right = rows.select("pair", "x", "y", "z"), rows.select("pair", *[F.col("t" + c).alias(c) for c in "xyz"])
+    if wrong:
+        rows = rows.withColumn("tz", F.when(F.col("i") % wrong == wrong - 1, F.col("tz") + 5).otherwise(F.col("tz")))
+    return rows, left, right
 
 
-@query("num_ransac_direct")
+def _rounded(m, places):
+    return F.transform(m, lambda v: F.round(v, places) + 0.0)
+
+
+POSE = "[c, -s+0.0, 0.0, tx, s, c, 0.0, ty, 0.0, 0.0, 1.0, 0.0]::DOUBLE[]"
+COUNTED = ", n AS (SELECT frame_id, count(*) AS n, count(CASE WHEN node_id % 4 <> 3 THEN 1 END) AS good FROM nodes GROUP BY 1)"
+
+
+@query("num_svd", oracle(COUNTED + f" SELECT frame_id AS pair, {POSE} AS m, 0.0::DOUBLE AS rmse FROM poses JOIN n USING (frame_id) WHERE n >= 4"))
+def num_svd(spark, d):
+    """Least squares give back the pose that moved the objects."""
+    rows, left, _ = _seen(spark, d)
+    enough = left.groupBy("pair").agg(F.count(F.lit(1)).alias("k")).where("k >= 4").select("pair")
+    found = B.aligned(rows.join(enough, "pair"))
+    return found.select("pair", _rounded("m", 6).alias("m"), (F.round("rmse", 6) + 0.0).alias("rmse"))
+
+
+@query("num_ransac_direct", oracle(COUNTED + f" SELECT frame_id AS pair, {POSE} AS m, round(good/n, 6) AS score, good AS inliers FROM poses JOIN n USING (frame_id) WHERE good >= 4"))
 def num_ransac_direct(spark, d):
-    return _consensus(spark, d, "direct")
+    """A quarter of the matches is wrong; consensus finds the pose and the right ones."""
+    found = B.consensus_by_pair(*_seen(spark, d, 4), "direct", iterations=100)
+    enough = X.nodes(spark, d).where("node_id % 4 <> 3").groupBy(F.col("frame_id").alias("pair")).agg(F.count(F.lit(1)).alias("k")).where("k >= 4").select("pair")
+    return found.join(enough, "pair").select("pair", _rounded("m", 6).alias("m"), F.round("score", 6).alias("score"), "inliers")
 
 
-@query("num_ransac_pairs")
+@query("num_ransac_pairs", oracle(COUNTED + " SELECT frame_id AS pair, n AS inliers, 1.0::DOUBLE AS score FROM n WHERE n >= 4"))
 def num_ransac_pairs(spark, d):
-    return _consensus(spark, d, "pairs")
+    found = B.consensus_by_pair(*_seen(spark, d), "pairs", iterations=100)
+    enough = X.nodes(spark, d).groupBy(F.col("frame_id").alias("pair")).agg(F.count(F.lit(1)).alias("k")).where("k >= 4").select("pair")
+    return found.join(enough, "pair").select("pair", "inliers", F.round("score", 6).alias("score"))
+
 
+def _graph_consensus(spark, d):
+    return B.consensus_by_pair(*_seen(spark, d, 4), "graph", iterations=200)
 
-@query("num_ransac_graph")
+
+@query("num_ransac_graph", oracle(COUNTED + " SELECT frame_id AS pair, n AS inliers, 1.0::DOUBLE AS score FROM n WHERE good >= 4"))
 def num_ransac_graph(spark, d):
-    return _consensus(spark, d, "graph")
+    """Wrong matches cost nothing where all objects fall on one another."""
+    return _graph_consensus(spark, d).join(_enough(spark, d), "pair").select("pair", "inliers", F.round("score", 6).alias("score"))
+
 
+def _enough(spark, d):
+    good = X.nodes(spark, d).where("node_id % 4 <> 3").groupBy(F.col("frame_id").alias("pair")).agg(F.count(F.lit(1)).alias("k"))
+    return good.where("k >= 4").select("pair")
 
-@query("top_ransac")
+
+@query("top_ransac", oracle(COUNTED + " SELECT frame_id AS pair, good AS inliers FROM n WHERE good >= 4"))
 def top_ransac(spark, d):
-    return _consensus(spark, d, "direct").select("pair", "inliers")
+    return num_ransac_direct(spark, d).select("pair", "inliers")
 
 
-@query("gm_reloc")
+@query("gm_reloc", oracle(COUNTED + f" SELECT frame_id AS pair, true AS found, {POSE} AS m FROM poses JOIN n USING (frame_id) WHERE good >= 4"))
 def gm_reloc(spark, d):
-    return B.relocalize(_consensus(spark, d, "graph"), 0.43)
+    """Objects of a frame matched with a map, a quarter of them wrongly: the frame's pose."""
+    found = B.relocalize(_graph_consensus(spark, d), 0.43).join(_enough(spark, d), "pair")
+    return found.select("pair", "found", _rounded("m", 6).alias("m"))
+
+
+SHIFT = (0.01, -0.02, 0.005)
+
+
+def _shifted(points):
+    """Every frame, and a copy of it, numbered negatively, that is moved a little."""
+    at = {c: F.col(c) + v for c, v in zip("xyz", SHIFT)}
+    return points.unionByName(points.withColumns(at).withColumn("frame_id", -1 - F.col("frame_id")))
+
 
+def _near_shift(m):
+    off = [F.abs(F.col(m)[k] + v) < 0.05 for k, v in zip((3, 7, 11), SHIFT)]
+    return off[0] & off[1] & off[2] & (G.rotation_angle(F.col(m)) < 0.01)
 
-@query("icp_loop_pt")
+
+def _registered(spark, d, kind):
+    points = X.scan(spark, d).select("frame_id", "point_idx", "x", "y", "z", "label")
+    points = P.background(points) if kind == "planes" else points
+    pairs = points.select(F.col("frame_id").alias("c")).distinct().select((-1 - F.col("c")).alias("q"), "c")
+    return B.register_pairs(_shifted(points), pairs, kind).select("q", "c", _near_shift("m").alias("back"))
+
+
+REGISTERED = "SELECT DISTINCT -1 - frame_id AS q, frame_id AS c, true AS back FROM "
+
+
+@query("icp_loop_pt", oracle(REGISTERED + "scan"))
 def icp_loop_pt(spark, d):
-    return B.register_pairs(X.scan(spark, d), spark.createDataFrame([(1, 0), (2, 1)], "q long, c long"), "points")
+    """Every frame, moved a little, finds back to itself."""
+    return _registered(spark, d, "points")
 
 
-@query("icp_loop_plane")
+@query("icp_loop_plane", oracle(REGISTERED + "bg"))
 def icp_loop_plane(spark, d):
-    return B.register_pairs(P.background(X.scan(spark, d)), spark.createDataFrame([(1, 0), (2, 1)], "q long, c long"), "planes")
+    return _registered(spark, d, "planes")
 
 
 @query("lc_verify")
 def lc_verify(spark, d):
-    return B.verify_loops(X.nodes(spark, d), X.scan(spark, d), spark.createDataFrame([(5, 0), (6, 1)], "q long, c long"))
+    """Every fifth frame against the one five before it."""
+    ids = X.raw_points(spark, d).select(F.col("frame_id").alias("q")).distinct().where("q >= 5 and q % 5 = 0")
+    return B.verify_loops(X.nodes(spark, d), X.scan(spark, d), ids.select("q", (F.col("q") - 5).alias("c")))
 
 
 @query("flt_loop_verify")
@@ -128,18 +194,25 @@ def lc_search(spark, d):
 
 @query("pgo")
 def pgo(spark, d):
+    """Every path with a loop between its first and its sixtieth pose."""
     poses = X.predicted(spark, d)
-    loops = spark.createDataFrame([(59, 0, [1.0, 0.0, 0.0, 59.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0])], "query_frame long, match_frame long, rel array<double>")
-    return B.optimise(poses, loops)
+    rel = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 59, 0, 1, 0, 0, 0, 0, 1, 0)])
+    return B.optimise(poses, poses.where("frame_id = 59").select("seq_id", F.col("frame_id").alias("query_frame"), F.lit(0).alias("match_frame"), rel.alias("rel")))
+
+
+@query("pgo_chain", oracle("SELECT seq_id, frame_id, round(tx, 5) AS x FROM pr"))
+def pgo_chain(spark, d):
+    """Without loops poses stay as they are, in each sequence for itself."""
+    return B.optimise(X.predicted(spark, d), None).select("seq_id", "frame_id", F.round(F.col("m")[3], 5).alias("x"))
 
 
-FACTORS = "SELECT 'odom' AS kind, frame_id - 1 AS src, frame_id AS dst, round(tx - lag(tx) OVER (ORDER BY frame_id), 5) AS dx FROM pr WHERE frame_id < 60 QUALIFY lag(tx) OVER (ORDER BY frame_id) IS NOT NULL UNION ALL SELECT 'prior', NULL, 0, round((SELECT tx FROM pr WHERE frame_id = 0), 5)"
+FACTORS = "SELECT seq_id, 'odom' AS kind, frame_id - 1 AS src, frame_id AS dst, round(tx - lag(tx) OVER w, 5) AS dx FROM pr WINDOW w AS (PARTITION BY seq_id ORDER BY frame_id) QUALIFY lag(tx) OVER w IS NOT NULL UNION ALL SELECT seq_id, 'prior', NULL, 0, round(tx, 5) FROM pr WHERE frame_id = 0"
 
 
 @query("pgo_factors", oracle(FACTORS))
 def pgo_factors(spark, d):
-    f = B.factors(X.predicted(spark, d).where("frame_id < 60"), None)
-    return f.select("kind", "src", "dst", F.round(F.col("rel")[3], 5).alias("dx"))
+    f = B.factors(X.predicted(spark, d), None)
+    return f.select("seq_id", "kind", "src", "dst", F.round(F.col("rel")[3], 5).alias("dx"))
 
 
 @query("ctl_back")

@@ -12,9 +12,9 @@ from voxloom.streaming.streams import drain, event_windows, stream_odometry
 
 @query("stream_odometry")
 def stream_odometry_query(spark, d):
-    s = X.scan(spark, d).select(F.lit("s").alias("seq_id"), "frame_id", "point_idx", "x", "y", "z", "label")
+    s = X.scan(spark, d).select(X.sequence().alias("seq_id"), "frame_id", "point_idx", "x", "y", "z", "label")
     path = fresh(spark, "stream")
-    s.coalesce(1).write.parquet(path)
+    s.repartition("seq_id").write.parquet(path)
     return drain(stream_odometry(spark.readStream.schema(s.schema).parquet(path)), "append")
 
 

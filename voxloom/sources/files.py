@@ -99,21 +99,28 @@ def pose_line(m: Column) -> Column:
 
 
 def write_poses(poses: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One line a pose in frame order.  A trajectory is one ordered file, a few numbers a frame."""
-    lines = poses.select("frame_id", pose_line(F.col("m")).alias("value"))
-    lines.coalesce(1).sortWithinPartitions("frame_id").select("value").write.mode(mode).text(path)
+    """One line a pose in frame order, a file a sequence in the folder of its name; sequences are written apart."""
+    lines = poses.select("seq_id", "frame_id", pose_line(F.col("m")).alias("value"))
+    dealt = lines.repartition("seq_id").sortWithinPartitions("seq_id", "frame_id")
+    dealt.select("seq_id", "value").write.mode(mode).partitionBy("seq_id").text(path)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def pose_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, n, line) of the pose files of a folder, or of one file, whose seq_id is null then."""
+    return _lines(spark, path, ("seq_id",))
+
+
+def _lines(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    whole = whole.withColumns({c: F.lit(None).cast("string") for c in keep if c not in whole.columns})
+    lines = whole.select(*keep, F.posexplode(F.split("value", "\n")).alias("n", "line"))
     return lines.where(F.trim("line") != "")
 
 
 def read_poses(spark: SparkSession, path: str, seq_id: str = "s") -> DataFrame:
-    """(seq_id, frame_id, m) of a pose file; the frame is the line number."""
+    """(seq_id, frame_id, m) of pose files; the frame is the line number.  ``seq_id`` names a file that stands alone."""
     numbers = F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double"))
-    return _lines(spark, path).select(F.lit(seq_id).alias("seq_id"), F.col("n").cast("long").alias("frame_id"), numbers.alias("m")).where(F.size("m") == 12)
+    return pose_lines(spark, path).select(F.coalesce(F.col("seq_id").cast("string"), F.lit(seq_id)).alias("seq_id"), F.col("n").cast("long").alias("frame_id"), numbers.alias("m")).where(F.size("m") == 12)
 
 
 def quaternion(m: Column) -> Column:
@@ -167,7 +174,3 @@ def markers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Line list of edges: both end points."""
     at = lambda node, names: nodes.select("frame_id", F.col("node_id").alias(node), *[F.col("c" + c).alias(n) for c, n in zip("xyz", names)])
     return edges.join(at("i", ("x1", "y1", "z1")), ["frame_id", "i"]).join(at("j", ("x2", "y2", "z2")), ["frame_id", "j"])
-
-
-def in_frame_order(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("frame_id").orderBy("point_idx")))
