@@ -27,9 +27,11 @@ def loop_candidates(keyframes: DataFrame, k: int = 5, gap: int = 30, within: flo
     Only real neighbours come back, and with ``within`` only those not above it.
     Exact search in blocks: runs of BLOCK keyframes meet pairwise, a pair is
     one task's matrix work and returns k rows a query at most.  So nothing is
-    broadcast, and no pair of keyframes becomes a row.
+    broadcast, and no pair of keyframes becomes a row.  Keyframes with a
+    ``seq_id`` are searched within their sequence, and the result has it.
     """
-    rows = keyframes.select(F.col("kf_seq").cast("long").alias("s"), F.col("desc").cast("array<double>").alias("v"))
+    keys = ["seq_id"] if "seq_id" in keyframes.columns else []
+    rows = keyframes.select(*keys, F.col("kf_seq").cast("long").alias("s"), F.col("desc").cast("array<double>").alias("v"))
     last = rows.agg(F.max("s")).first()[0] or 0
     own = F.floor(F.col("s") / BLOCK).cast("int")
     top = last // BLOCK
@@ -48,10 +50,12 @@ def loop_candidates(keyframes: DataFrame, k: int = 5, gap: int = 30, within: flo
                     d = ((table[:n] - v) ** 2).sum(axis=1)
                     best = np.lexsort((seq[:n], d))[:k] if n <= 4 * k else _least(d, seq[:n], k)
                     out += [(int(s), int(seq[b]), float(d[b])) for b in best]
-        return pd.DataFrame(out, columns=["q", "c", "d"])
+        found = pd.DataFrame(out, columns=["q", "c", "d"])
+        return found.assign(seq_id=g.seq_id.iloc[0]) if keys else found
 
-    pairs = queries.unionByName(corpus).groupBy("i", "j").applyInPandas(run, "q long, c long, d double")
-    w = Window.partitionBy("q").orderBy("d", "c")
+    schema = "q long, c long, d double" + (", seq_id string" if keys else "")
+    pairs = queries.unionByName(corpus).groupBy(*keys, "i", "j").applyInPandas(run, schema)
+    w = Window.partitionBy(*keys, "q").orderBy("d", "c")
     out = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out if within is None else out.where(F.col("d") <= within)
 

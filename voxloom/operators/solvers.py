@@ -100,41 +100,73 @@ def solve_step(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(left, -right, rcond=None)[0]
 
 
+#: The 27 cells around a cell, in order of x, y, z offset.
+AROUND = np.array([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)], dtype=np.int64)
+
+
+def _cell_number(cells: np.ndarray) -> np.ndarray:
+    """One number a cell, for coordinates of up to 20 bits and a sign."""
+    return (cells[:, 0] << 42) + (cells[:, 1] << 21) + cells[:, 2]
+
+
 class CellMap:
     """Points in voxels of a bounded number, with nearest search over the 27 cells around."""
 
     def __init__(self, size: float, cap: int) -> None:
         self.size, self.cap = size, cap
         self.cells: dict[tuple[int, int, int], list[np.ndarray]] = {}
+        self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def key(self, p: np.ndarray) -> tuple[int, int, int]:
         return tuple(np.trunc(p / self.size).astype(int).tolist())
 
     def add(self, points: np.ndarray) -> None:
+        self._table = None
         for p, k in zip(points, np.trunc(points / self.size).astype(int).tolist()):
             held = self.cells.setdefault(tuple(k), [])
             if len(held) < self.cap:
                 held.append(p)
 
     def drop_far(self, origin: np.ndarray, most: float) -> None:
+        self._table = None
         self.cells = {k: v for k, v in self.cells.items() if ((v[0] - origin) ** 2).sum() <= most * most}
 
     def points(self) -> np.ndarray:
         return np.array([p for v in self.cells.values() for p in v]).reshape(-1, 3)
 
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell numbers in order, where each cell's points start, and the points."""
+        if self._table is None:
+            cells = np.array(list(self.cells), dtype=np.int64).reshape(-1, 3)
+            numbers = _cell_number(cells)
+            order = np.argsort(numbers, kind="stable")
+            lists = list(self.cells.values())
+            held = [lists[k] for k in order.tolist()]
+            starts = np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int64)
+            self._table = numbers[order], starts, np.array([p for x in held for p in x]).reshape(-1, 3)
+        return self._table
+
     def nearest(self, points: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the points with a neighbour closer than ``within``, and those neighbours."""
-        found, targets = [], []
-        for i, (p, k) in enumerate(zip(points, np.trunc(points / self.size).astype(int).tolist())):
-            near = [q for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) for q in self.cells.get((k[0] + x, k[1] + y, k[2] + z), ())]
-            if near:
-                q = np.array(near)
-                d = ((q - p) ** 2).sum(axis=1)
-                j = int(d.argmin())
-                if d[j] < within * within:
-                    found.append(i)
-                    targets.append(q[j])
-        return np.array(found, dtype=int), np.array(targets).reshape(-1, 3)
+        numbers, starts, held = self._sorted()
+        if not len(numbers) or not len(points):
+            return np.empty(0, dtype=int), np.empty((0, 3))
+        around = _cell_number((np.trunc(points / self.size).astype(np.int64)[:, None] + AROUND).reshape(-1, 3))
+        at = np.minimum(np.searchsorted(numbers, around), len(numbers) - 1)
+        count = np.where(numbers[at] == around, starts[at + 1] - starts[at], 0)
+        each = count.reshape(-1, len(AROUND)).sum(axis=1)
+        some = np.flatnonzero(each)
+        if not len(some):
+            return np.empty(0, dtype=int), np.empty((0, 3))
+        total = int(count.sum())
+        which = np.arange(total) + np.repeat(starts[at] - (np.cumsum(count) - count), count)
+        d = ((held[which] - points[np.repeat(np.arange(len(points)), each)]) ** 2).sum(axis=1)
+        begin = np.cumsum(each[some]) - each[some]
+        least = np.minimum.reduceat(d, begin)
+        hit = np.flatnonzero(d == np.repeat(least, each[some]))
+        first = hit[np.searchsorted(hit, begin)]  # the first of equals, in order of cells
+        close = least < within * within
+        return some[close], held[which[first[close]]]
 
 
 def icp(source: np.ndarray, cells: CellMap, guess: np.ndarray, within: float, th: float | None, weights: np.ndarray | None = None, most: int = 500, least_step: float = 1e-4) -> np.ndarray:

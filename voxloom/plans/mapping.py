@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import geometry as G
@@ -90,7 +90,7 @@ def _by_pair(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def verify_loops(nodes: DataFrame, points: DataFrame, candidates: DataFrame, refine: bool = True) -> DataFrame:
-    """(q, c, graph_score, back_score, shift, m) of candidates, from the cheap tests to the costly.
+    """(q, c, graph_score, back_score, shift, matched, m) of candidates, from the cheap tests to the costly.
 
     Assignment of nodes, triangle pruning with three matches at least, seeded
     consensus, similarity of label cells, then point and plane ICP.
@@ -104,13 +104,14 @@ def verify_loops(nodes: DataFrame, points: DataFrame, candidates: DataFrame, ref
     matched = cut(K.prune(assigned, left, right).select("pair", "i", "j"), "matched")
     at = lambda df, node, names: df.select("pair", F.col("node_id").alias(node), *[F.col("c" + c).alias(n) for c, n in zip("xyz", names)])
     rows = matched.join(at(left, "i", "xyz"), ["pair", "i"]).join(at(right, "j", ("tx", "ty", "tz")), ["pair", "j"])
-    enough = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("k")).where("k >= 3").select("pair")
-    rows = rows.join(enough, "pair")
+    # the query's nodes that are matched: as few as a frame's objects
+    enough = rows.groupBy("pair").agg(F.array_sort(F.collect_list("i")).alias("matched")).where(F.size("matched") >= 3)
+    rows = rows.join(enough.select("pair"), "pair")
     cloud = lambda df: df.select("pair", *[F.col("c" + c).alias(c) for c in "xyz"])
     found = consensus_by_pair(rows, cloud(left), cloud(right), "graph", 200)
     similar = D.cell_similarity(D.label_cells(points), pairs.select(F.col("q").alias("a"), F.col("c").alias("b")))
-    out = pairs.join(found, "pair").join(similar.select(F.col("a").alias("q"), F.col("b").alias("c"), F.col("similarity").alias("back_score")), ["q", "c"])
-    out = cut(out.select("q", "c", F.col("score").alias("graph_score"), "back_score", G.translation_norm(F.col("m")).alias("shift"), "m"), "verified")
+    out = pairs.join(found, "pair").join(enough, "pair").join(similar.select(F.col("a").alias("q"), F.col("b").alias("c"), F.col("similarity").alias("back_score")), ["q", "c"])
+    out = cut(out.select("q", "c", F.col("score").alias("graph_score"), "back_score", G.translation_norm(F.col("m")).alias("shift"), "matched", "m"), "verified")
     if not refine:
         return out
     coarse = cut(register_pairs(points, out.select("q", "c"), "points", out), "coarse")
@@ -123,14 +124,40 @@ def passing(verified: DataFrame, graph: float = 0.5, back: float = 0.58, farthes
     return verified.where((F.col("graph_score") >= graph) & (F.col("back_score") >= back) & (F.col("shift") <= farthest))
 
 
-def search_loops(nodes: DataFrame, points: DataFrame, every: int = 5, gap: int = 30, k: int = 5, within: float = 0.1, **gates: float) -> DataFrame:
-    """(query_frame, match_frame, rel): for each keyframe its first candidate, by rank, that passes."""
+def search_loops(nodes: DataFrame, points: DataFrame, every: int = 5, gap: int = 30, k: int = 5, within: float = 0.1, sequences: DataFrame | None = None, **gates: float) -> DataFrame:
+    """(query_frame, match_frame, rel, matched): for each keyframe its first candidate, by rank, that passes.
+
+    With ``sequences``, rows (seq_id, frame_id), loops are searched within a
+    sequence and the result has its seq_id; frame ids are unique over all.
+    """
     desc = keyframes(D.scan_descriptors(nodes, points), every)
-    near = K.loop_candidates(desc.select("kf_seq", "desc"), k, gap, within)
-    near = cut(near.select((F.col("q") * every).alias("q"), (F.col("c") * every).alias("c"), "rank"), "near")
+    desc = desc if sequences is None else desc.join(sequences, "frame_id")
+    keys = [] if sequences is None else ["seq_id"]
+    near = K.loop_candidates(desc.select(*keys, "kf_seq", "desc"), k, gap, within)
+    near = cut(near.select(*keys, (F.col("q") * every).alias("q"), (F.col("c") * every).alias("c"), "rank"), "near")
     good = passing(verify_loops(nodes, points, near), **gates).join(near, ["q", "c"])
-    best = good.groupBy("q").agg(F.min_by(F.struct("c", "m"), "rank").alias("b"))
-    return best.select(F.col("q").alias("query_frame"), F.col("b.c").alias("match_frame"), F.col("b.m").alias("rel"))
+    best = good.groupBy(*keys, "q").agg(F.min_by(F.struct("c", "m", "matched"), "rank").alias("b"))
+    return best.select(*keys, F.col("q").alias("query_frame"), F.col("b.c").alias("match_frame"), F.col("b.m").alias("rel"), F.col("b.matched").alias("matched"))
+
+
+def back_end(points: DataFrame, nodes: DataFrame, front: DataFrame, every: int = 5, gap: int = 30, within: float = 0.1, look_back: int = 29, **gates: float) -> dict[str, DataFrame]:
+    """Keyframes, loop search, pose graph and global map, from what the front end gave.
+
+    points and nodes have frame_id, which is unique over the sequences; front
+    has seq_id, frame_id, m and ``new``, the nodes that entered the map.
+    Returns ``loops``, the optimised ``poses``, and ``graph``, the rows of
+    global_graph over the new objects; those that a loop matched with earlier
+    ones are no second instance and stay out of it.  All poses are optimised at
+    once, as the graph that is solved step by step ends there.
+    """
+    front = cut(front.select("seq_id", "frame_id", "m", "new"), "front")
+    loops = cut(search_loops(nodes, points, every, gap, within=within, sequences=front.select("seq_id", "frame_id"), **gates), "loops")
+    poses = cut(optimise(front, loops), "poses")
+    fresh = front.select("seq_id", "frame_id", F.explode("new").alias("node_id"))
+    seen = loops.select(F.col("query_frame").alias("frame_id"), F.explode("matched").alias("node_id"))
+    fresh = M.unseen(fresh, seen)
+    graph = global_graph(nodes.join(fresh, ["frame_id", "node_id"]), poses, back=look_back)
+    return {"loops": loops, "poses": poses, "graph": graph}
 
 
 def factors(poses: DataFrame, loops: DataFrame | None) -> DataFrame:
@@ -176,14 +203,19 @@ def optimise(poses: DataFrame, loops: DataFrame | None, rounds: int = 20) -> Dat
 
 
 def global_graph(nodes: DataFrame, poses: DataFrame, last: int | None = None, back: int = 29) -> DataFrame:
-    """Global node rows and edges by number: (kind, src, dst, x, y, z, label)."""
-    placed = M.place(nodes, poses, last).join(M.node_offsets(nodes).select("frame_id", "base"), "frame_id")
-    placed = placed.withColumn("id", F.col("base") + F.col("node_id"))
+    """Global node rows and edges by number, of each sequence: (kind, src, dst, x, y, z, label), with seq_id if nodes have it."""
+    seq = ["seq_id"] if "seq_id" in nodes.columns else []
+    # a frame's nodes are numbered without gaps
+    w = Window.partitionBy("frame_id").orderBy("node_id")
+    numbered = nodes.withColumn("node_id", F.row_number().over(w) - 1)
+    placed = M.place(numbered, poses, last).join(M.node_offsets(numbered).select("frame_id", "base"), "frame_id")
+    placed = cut(placed.withColumn("id", F.col("base") + F.col("node_id")), "placed")
     both = M.edges_to_earlier(placed, back).unionByName(M.edges_within(placed))
-    ids = placed.select("frame_id", "node_id", "id")
-    a = ids.select(F.col("frame_id").alias("fa"), F.col("node_id").alias("na"), F.col("id").alias("src"))
-    b = ids.select(F.col("frame_id").alias("fb"), F.col("node_id").alias("nb"), F.col("id").alias("dst"))
+    ids = placed.select(*seq, "frame_id", "node_id", "id")
+    a = ids.select(*[F.col(c).alias("sa") for c in seq], F.col("frame_id").alias("fa"), F.col("node_id").alias("na"), F.col("id").alias("src"))
+    b = ids.select(*seq, F.col("frame_id").alias("fb"), F.col("node_id").alias("nb"), F.col("id").alias("dst"))
     edges = both.join(a, ["fa", "na"]).join(b, ["fb", "nb"])
+    edges = edges.where("sa = seq_id") if seq else edges
     none = [F.lit(None).cast("double").alias(c) for c in "xyz"]
-    rows = placed.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "x", "y", "z", "label")
-    return rows.unionByName(edges.select(F.lit("edge").alias("kind"), "src", "dst", *none, F.lit(None).cast("int").alias("label")))
+    rows = placed.select(*seq, F.lit("node").alias("kind"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "x", "y", "z", "label")
+    return rows.unionByName(edges.select(*seq, F.lit("edge").alias("kind"), "src", "dst", *none, F.lit(None).cast("int").alias("label")))

@@ -15,6 +15,7 @@ from voxloom.plans.catalog import query
 from voxloom.plans.fixtures import oracle
 from voxloom.plans.q_joins import _costs, _pair, _sides
 from voxloom.plans.q_points import VOX
+from voxloom.plans.scratch import cut
 
 def _scan(spark, d):
     s = X.scan(spark, d)
@@ -217,7 +218,20 @@ def pgo_factors(spark, d):
 
 @query("ctl_back")
 def ctl_back(spark, d):
-    return B.global_graph(X.nodes(spark, d), X.frame_poses(spark, d))
+    """The whole back end on what the front end gives: keyframes, loops, optimised poses, global map."""
+    points = _scan(spark, d)
+    nodes = cut(X.nodes(spark, d), "nodes")
+    return B.back_end(points.drop("seq_id"), nodes, O.front_end(points, nodes=nodes), every=2, gap=3, within=0.5, graph=0.3, back=0.2)["graph"]
+
+
+GLOBAL = """
+, placed AS (SELECT frame_id, node_id, label, c*cx - s*cy + tx AS x, s*cx + c*cy + ty AS y, cz AS z FROM nodes JOIN poses USING (frame_id)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY frame_id, node_id) - 1 AS id FROM placed)"""
+
+
+@query("global_graph", oracle(GLOBAL + " SELECT 'node' AS kind, id AS src, NULL::BIGINT AS dst, label FROM numbered UNION ALL SELECT 'edge', a.id, b.id, NULL FROM numbered a JOIN numbered b ON (b.frame_id BETWEEN a.frame_id - 3 AND a.frame_id - 1 OR (a.frame_id = b.frame_id AND a.node_id < b.node_id)) WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 60"))
+def global_graph(spark, d):
+    return B.global_graph(X.nodes(spark, d), X.frame_poses(spark, d), back=3).select("kind", "src", "dst", "label")
 
 
 @query("assign_totals")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.plans.odometry import SCHEMA, FrontEnd, State, run_frames
+from voxloom.plans.scratch import fresh
 
 
 def stream_odometry(points: DataFrame, cfg: FrontEnd = FrontEnd()) -> DataFrame:
@@ -39,9 +39,17 @@ def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minut
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that its source has now; the rows that it gave."""
+    """Run a stream over all that its source has now; the rows that it gave, in files of the shared folder.
+
+    Appended rows go straight to Parquet files.  A complete result is written
+    anew by each micro-batch, so the last one stays.
+    """
     spark: SparkSession = stream.sparkSession
-    name = "out_" + uuid.uuid4().hex[:10]
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    path = fresh(spark, "stream-out")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", fresh(spark, "stream-state")).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
