@@ -11,7 +11,9 @@ from voxloom.plans import catalog  # noqa: E402
 
 QUERIES, ORACLE = catalog.load()
 #: Composites of operators that are tested on their own, and take their time.
-SLOW = {"lc_verify", "flt_loop_verify", "lc_search"}
+SLOW = {"lc_verify", "flt_loop_verify", "lc_search", "ctl_back"}
+#: Too few frames or planes at the smallest size.
+MAY_BE_EMPTY = {"flt_plane", "flt_plane_pair", "join_plane_nn", "join_prune", "assign_totals"}
 
 
 @pytest.fixture(scope="session")
@@ -45,5 +47,6 @@ def test_equals_oracle(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
-def test_runs(spark, sf, name):
-    QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+def test_gives_rows(spark, sf, name):
+    rows = QUERIES[name](spark, sf).toPandas()
+    assert len(rows) or name in MAY_BE_EMPTY

@@ -342,7 +342,7 @@ def optimise_poses(poses: np.ndarray, factors: list[tuple[int, int, np.ndarray,
     """Gauss-Newton over poses with relative factors (src, dst, motion, var_rot, var_trans, cauchy).
 
     src -1 is a prior.  Twists are eliminated over a banded-sparse system
-    through conjugate gradients with block-diagonal preconditioning.
+    through conjugate gradients preconditioned by the chain.
     """
     x = poses.copy()
     n = len(x)
@@ -376,12 +376,37 @@ def _adjoint(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chain(blocks: dict[tuple[int, int], np.ndarray], n: int):
+    """Solves the part of the system that links each pose with the next, exactly, in one pass forth and back."""
+    none = np.zeros((6, 6))
+    inverses, lower, upper = np.empty((n, 6, 6)), np.zeros((n, 6, 6)), np.zeros((n, 6, 6))
+    for k in range(n):
+        own = blocks.get((k, k), np.eye(6)) + 1e-12 * np.eye(6)
+        if k:
+            lower[k] = blocks.get((k, k - 1), none) @ inverses[k - 1]
+            own = own - lower[k] @ upper[k - 1]
+        inverses[k] = np.linalg.inv(own)
+        upper[k] = blocks.get((k, k + 1), none)
+
+    def solve(r: np.ndarray) -> np.ndarray:
+        out = r.copy()
+        for k in range(1, n):
+            out[k] -= lower[k] @ out[k - 1]
+        out[n - 1] = inverses[n - 1] @ out[n - 1]
+        for k in range(n - 2, -1, -1):
+            out[k] = inverses[k] @ (out[k] - upper[k] @ out[k + 1])
+        return out
+
+    return solve
+
+
 def _conjugate(blocks: dict[tuple[int, int], np.ndarray], right: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """Conjugate gradients preconditioned by the chain of poses: a few steps for each loop."""
     n = len(right)
     rows = np.array([k[0] for k in blocks])
     cols = np.array([k[1] for k in blocks])
     values = np.array(list(blocks.values()))
-    diagonal = np.array([np.linalg.inv(blocks.get((k, k), np.eye(6)) + 1e-12 * np.eye(6)) for k in range(n)])
+    chain = _chain(blocks, n)
 
     def times(v: np.ndarray) -> np.ndarray:
         out = np.zeros_like(v)
@@ -390,7 +415,7 @@ def _conjugate(blocks: dict[tuple[int, int], np.ndarray], right: np.ndarray, tol
 
     x = np.zeros_like(right)
     r = right.copy()
-    z = np.einsum("kij,kj->ki", diagonal, r)
+    z = chain(r)
     p, rz = z.copy(), float((r * z).sum())
     start = rz
     for _ in range(12 * n + 50):
@@ -399,7 +424,7 @@ def _conjugate(blocks: dict[tuple[int, int], np.ndarray], right: np.ndarray, tol
         ap = times(p)
         a = rz / float((p * ap).sum())
         x, r = x + a * p, r - a * ap
-        z = np.einsum("kij,kj->ki", diagonal, r)
+        z = chain(r)
         rz, old = float((r * z).sum()), rz
         p = z + rz / old * p
     return x

@@ -31,8 +31,8 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "frame_id",
         F.row_number().over(order).cast("bigint").alias("point_idx"),
-        (((F.col("obj") * 37) % 121) - 60 + F.col("l_discount") * 20).cast("double").alias("x"),
-        (((F.col("obj") * 53) % 121) - 60 + F.col("l_tax") * 25).cast("double").alias("y"),
+        (((F.col("obj") * 37) % 61) - 30 + F.col("l_discount") * 20).cast("double").alias("x"),
+        (((F.col("obj") * 53) % 61) - 30 + F.col("l_tax") * 25).cast("double").alias("y"),
         (F.col("l_quantity") / 25.0 - 1).cast("double").alias("z"),
         raw.alias("raw_label"),
         "obj",
@@ -107,8 +107,8 @@ SQL = """
 pts AS (
   SELECT (l_orderkey // 250)::BIGINT AS frame_id,
     row_number() OVER (PARTITION BY l_orderkey // 250 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::BIGINT AS point_idx,
-    (((l_suppkey % 25 * 37) % 121) - 60 + l_discount * 20)::DOUBLE AS x,
-    (((l_suppkey % 25 * 53) % 121) - 60 + l_tax * 25)::DOUBLE AS y,
+    (((l_suppkey % 25 * 37) % 61) - 30 + l_discount * 20)::DOUBLE AS x,
+    (((l_suppkey % 25 * 53) % 61) - 30 + l_tax * 25)::DOUBLE AS y,
     (l_quantity / 25.0 - 1)::DOUBLE AS z,
     CASE l_suppkey % 25 % 5 WHEN 0 THEN 10 WHEN 1 THEN 71 WHEN 2 THEN 80 WHEN 3 THEN 40 ELSE 50 END AS raw_label,
     CASE l_suppkey % 25 % 5 WHEN 0 THEN 1 WHEN 1 THEN 16 WHEN 2 THEN 18 WHEN 3 THEN 9 ELSE 13 END AS label,

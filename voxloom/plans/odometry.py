@@ -167,5 +167,6 @@ def front_end(points: DataFrame, cfg: FrontEnd = FrontEnd(), nodes: DataFrame |
     thin = _thinned(points, cfg)
     of = points.select(F.col("seq_id").alias("of"), "frame_id").distinct()
     found = found.join(of, "frame_id")
+    found = found.select(*[F.col(c).alias(c) for c in found.columns])  # columns of its own, though both sides come from the points
     both = thin.groupBy("seq_id").cogroup(found.groupBy("of"))
     return both.applyInPandas(lambda rows, some: run_front(State(), rows, some, cfg), FRONT)

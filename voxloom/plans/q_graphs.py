@@ -97,7 +97,7 @@ def agg_ring_desc(spark, d):
     return D.ring_occupancy(X.scan(spark, d))
 
 
-@query("lc_descriptor", oracle(GRAPH_DESC + OCCUPIED + ", rn AS (SELECT frame_id, slot + 183 AS slot, n/sqrt(sum(n*n) OVER (PARTITION BY frame_id)) AS v FROM ro), al AS (SELECT frame_id, slot, v FROM gd UNION ALL SELECT frame_id, slot, v FROM rn WHERE frame_id IN (SELECT frame_id FROM gd)) SELECT frame_id, slot::INT AS slot, round(v/sqrt(sum(v*v) OVER (PARTITION BY frame_id)), 4) AS v FROM al WHERE v > 0"))
+@query("lc_descriptor", oracle(GRAPH_DESC + OCCUPIED + ", rn AS (SELECT frame_id, slot + 183 AS slot, n/sqrt(sum(n*n) OVER (PARTITION BY frame_id)) AS v FROM ro), al AS (SELECT frame_id, slot, v FROM gd UNION ALL SELECT frame_id, slot, v FROM rn WHERE frame_id IN (SELECT frame_id FROM gd)) SELECT frame_id, slot::INT AS slot, round((v/sqrt(sum(v*v) OVER (PARTITION BY frame_id)))::FLOAT::DOUBLE, 4) AS v FROM al WHERE v > 0"))
 def lc_descriptor(spark, d):
     rows = D.scan_descriptors(X.nodes(spark, d), X.scan(spark, d)).select("frame_id", F.posexplode("desc").alias("slot", "v")).where("v > 0")
     return rows.select("frame_id", "slot", F.round(F.col("v").cast("double"), 4).alias("v"))
