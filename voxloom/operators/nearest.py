@@ -57,18 +57,22 @@ def nearest_in_cells(queries: DataFrame, targets: DataFrame, size: float, within
 
     Frames have point_idx, x, y, z and ``keys``; the result has the query's
     columns and tid, tx, ty, tz, dist and the target's ``carry`` with a t in
-    front.  Ties go to the smaller target id; no target, no row.  Only ids and
-    positions are copied to cells; other columns are joined to the pairs found.
+    front.  Ties go to the smaller target id; no target, no row.  Occupied cells,
+    not points, are copied to the 27 around them; targets follow to the cells of
+    queries that are there, and other columns are joined to the pairs found.
     ``keys`` and point_idx tell points of a side apart.
     """
     cells = ("vx", "vy", "vz")
     own = [*keys, "point_idx"]
     at = F.col("point_idx").alias("tid")
     t = targets.select(*keys, *G.voxel_key(G.xyz(), size), at, *[F.col(c).alias("t" + c) for c in "xyz"])
-    spots = queries.select(*own, *"xyz", *G.voxel_key(G.xyz(), size)).withColumn("_c", F.explode(around()))
-    spots = spots.select(*own, *"xyz", *[F.col(f"_c.{n}").alias(n) for n in cells])
-    met = spots.join(t, [*keys, *cells]).select(*own, F.struct(G.distance(G.xyz(), G.xyz("t")).alias("dist"), "tid", "tx", "ty", "tz").alias("_b"))
-    best = met.where(F.col("_b.dist") < within).groupBy(*own).agg(F.min("_b").alias("_b")).select(*own, "_b.*")
+    q = queries.select(*own, *"xyz", *G.voxel_key(G.xyz(), size))
+    asked = q.select(*keys, *cells).distinct().select(*keys, F.struct(*cells).alias("_q"), F.explode(around()).alias("_c"))
+    asked = asked.select(*keys, "_q", *[F.col(f"_c.{n}").alias(n) for n in cells])
+    # targets of the cells around, at the cell of the query: the join and the minimum share that cell's partitioning
+    near = asked.join(t, [*keys, *cells]).select(*keys, *[F.col(f"_q.{n}").alias(n) for n in cells], "tid", "tx", "ty", "tz")
+    met = q.join(near, [*keys, *cells]).select(*own, *cells, F.struct(G.distance(G.xyz(), G.xyz("t")).alias("dist"), "tid", "tx", "ty", "tz").alias("_b"))
+    best = met.where(F.col("_b.dist") < within).groupBy(*keys, *cells, "point_idx").agg(F.min("_b").alias("_b")).select(*own, "_b.*")
     others = [c for c in queries.columns if c not in own]
     if others:
         best = best.join(queries, own)

@@ -69,8 +69,9 @@ def segment_ends(distances: DataFrame, lengths: tuple[int, ...] = LENGTHS, step:
     starts = distances.where(F.col("frame_id") % step == 0).select("seq_id", F.col("frame_id").alias("first"), F.explode(F.array(*map(F.lit, lengths))).alias("length"), F.col("dist").alias("d0"))
     asked = starts.select("seq_id", (F.col("d0") + F.col("length")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("frame_id"), "first", "length")
     frames = distances.select("seq_id", F.col("dist").alias("at"), F.lit(0).alias("kind"), "frame_id", F.lit(None).cast("long").alias("first"), F.lit(None).cast("int").alias("length"))
-    w = Window.partitionBy("seq_id").orderBy(F.col("at").asc(), F.col("kind").asc(), F.col("frame_id").asc()).rowsBetween(1, Window.unboundedFollowing)
-    both = frames.unionByName(asked).withColumn("last", F.first("frame_id", ignorenulls=True).over(w))
+    # from the far end back: a frame that grows with the rows is kept up, one that shrinks is read anew for each row
+    w = Window.partitionBy("seq_id").orderBy(F.col("at").desc(), F.col("kind").desc(), F.col("frame_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    both = frames.unionByName(asked).withColumn("last", F.last("frame_id", ignorenulls=True).over(w))
     return both.where("kind = 1 and last is not null").select("seq_id", "first", "length", "last")
 
 
