@@ -120,3 +120,26 @@ def test_entry_module_without_the_training_data_part(tmp_path):
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout.split()[0]) > 150
+
+
+@pytest.mark.parametrize("mode", ["pairs", "direct"])
+def test_samples_on_a_line_do_not_decide_a_motion(mode):
+    """Most objects stand in a line, and a turn about it moves the others by less than the cells show."""
+    rng = np.random.default_rng(5)
+    line = np.outer(np.arange(-20.0, 22, 3), [1.0, 0.5, 0.0])
+    points = np.vstack([line, [[3.0, 2.0, 0.3], [-7.0, -3.0, 0.25]]])
+    for seed in range(40):
+        m = np.eye(4)
+        m[:3, :3] = N.so3_exp(rng.normal(size=3))
+        m[:3, 3] = rng.normal(size=3) * 1000
+        to = N.moved(m, points)
+        found, score, inliers = N.consensus(points, to, 200, seed, mode, points, to)
+        assert inliers == len(points) and round(score, 6) == 1.0
+        assert np.abs(found - m).max() < 1e-6
+
+
+def test_a_line_of_objects_still_has_a_motion():
+    line = np.outer(np.arange(6.0), [1.0, 2.0, 0.5])
+    found, score, inliers = N.consensus(line, line + 1, 50, 1, "graph", line, line + 1)
+    assert inliers == 6 and score == 1.0
+    assert np.allclose(N.moved(found, line), line + 1)
