@@ -122,7 +122,7 @@ def test_entry_module_without_the_training_data_part(tmp_path):
     assert int(done.stdout.split()[0]) > 150
 
 
-@pytest.mark.parametrize("mode", ["pairs", "direct"])
+@pytest.mark.parametrize("mode", ["pairs", "graph", "direct"])
 def test_samples_on_a_line_do_not_decide_a_motion(mode):
     """Most objects stand in a line, and a turn about it moves the others by less than the cells show."""
     rng = np.random.default_rng(5)
