@@ -58,3 +58,17 @@ def test_large_leaves_beside_small_ones_keep_their_lines(spark):
     rows = [(k, f"entry of {name} in book {NAMES[-k]} closed today\nshort line\nPosted by {name} in the sports section of today") for k, name in enumerate(NAMES)]
     rows += [(20 + k, None) for k in range(2)] + [(30, ""), (31, "a b c d e f g")]
     assert dropped(spark, rows, block=40) == dropped(spark, rows)
+
+
+def test_the_size_of_a_task_changes_nothing(spark):
+    """A family with fields where the orders of its words began, among lines of the same leaf; and lines that a cut parts."""
+    far = [f"{a}{b}" for a in NAMES for b in NAMES]
+    word = lambda k, j: far[(k * j + 3 * j + k) % 100] + chr(97 + (k * 7 + j * j) % 26)
+    rows = [(k, f"the log {word(k, 1)} was sent to {word(k, 2)} by all of {word(k, 3)} ten old stations") for k in range(60)]
+    rows += [(1000 + k, "the log " + " ".join(word(k, j) for j in range(4, 16))) for k in range(500)]
+    rows += [(3000 + k, f"the log {NAMES[k % 10]} came in {'late' if k % 3 else word(k, 5)} to {NAMES[k // 10]} and was read there {word(k, 6)} more") for k in range(50)]
+    assert {len(t.split()) for _, t in rows} == {14}
+    whole = dropped(spark, rows)
+    assert sum(n for k, n in whole.items() if k < 60) == 59
+    for block in (100, 1000, 4000):
+        assert dropped(spark, rows, block=block) == whole

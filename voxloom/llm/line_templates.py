@@ -16,14 +16,12 @@ and none where all tokens have one, so single numbers are not one template.
 Lines of LONG_TOKENS tokens or more are no chance: if they agree in all words,
 digits included, they recur from LONG_RECURRING documents on.
 
-Lines are told apart by 64-bit hashes.  Every different line of a leaf is
-looked at.  A leaf whose different lines have BLOCK tokens or more is no
-task's work: its lines are put in the order of their words, dealt over tasks
-by range, and every BLOCK tokens in that order are a set of their own.  What
-is left over, and the templates found, are put in order again, from other
-words on, TURNS times in all, so that lines that differ early meet by their
-later words, and templates of one family become one.  Lines of such a leaf
-that are never in a set with another of their family stay single.
+Lines and their tokens are told apart by 64-bit hashes.  Every different line
+of a leaf is looked at, and the templates do not depend on how.  A leaf whose
+different lines have BLOCK tokens or more is no task's work: the tokens of each
+place are counted over tasks, and a set gives its template or is cut by these
+counts, round by round, until a set is small enough for a task to go on with.
+Lines left over meet the templates of their leaf in blocks.
 Joins are merge joins where their sides grow with the corpus, and merge joins
 split hot keys; large leaves are few, and the planner chooses by their size.
 """
@@ -36,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.storage import collect_garbage, materialize, release
@@ -50,7 +48,8 @@ RECURRING = 5
 LONG_TOKENS = 50
 LONG_RECURRING = 2
 BLOCK = 1 << 18
-TURNS = 3
+#: Lines and templates of a large leaf that a task compares at once.
+LINES, TEMPLATES = 4096, 1024
 VARIABLE = "<*>"
 
 _DIGIT = re.compile(r"[0-9]")
@@ -144,122 +143,128 @@ def _by_commonest(order: np.ndarray) -> int:
     return int(np.argmax(np.where(most < len(order), most, 0)))
 
 
-def split_leaf(rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The template of each of a set's different lines, -1 for none, and the templates.
-
-    ``rows`` has a token number a place, templates -1 at variable places.
-    """
-    n, width = rows.shape
-    of = np.full(n, -1)
-    least = _least(CONSTANT, width)
-    templates: list[np.ndarray] = []
-    for cut in (_by_fewest, _by_commonest):
-        first_new = len(templates)
-        open_sets = [np.flatnonzero(of < 0)]
-        while open_sets:
-            at = open_sets.pop()
-            if len(at) == 2:  # most sets, and cheap to settle
-                same = rows[at[0]] == rows[at[1]]
-                if np.count_nonzero(same) >= least:
-                    of[at] = len(templates)
-                    templates.append(np.where(same, rows[at[0]], -1))
+CUTS = (_by_fewest, _by_commonest)
+
+
+def _families(rows: np.ndarray, cut: Callable[[np.ndarray], int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in rows, template) of the templates of a set's different lines."""
+    least = _least(CONSTANT, rows.shape[1])
+    open_sets = [np.arange(len(rows))]
+    while open_sets:
+        at = open_sets.pop()
+        if len(at) == 2:  # most sets, and cheap to settle
+            same = rows[at[0]] == rows[at[1]]
+            if np.count_nonzero(same) >= least:
+                yield at, np.where(same, rows[at[0]], -1)
+            continue
+        if len(at) < 2:
+            continue
+        part = rows[at]
+        order = np.sort(part, axis=0)
+        middle = order[len(at) // 2]  # a token that more than half have stands here
+        held = 2 * (part == middle).sum(axis=0) > len(at)
+        if np.count_nonzero(held) >= least:
+            template = np.where(held, middle, -1)
+            inside = _matches(part, template)
+            if np.count_nonzero(inside) > 1:
+                yield at[inside], template
+                open_sets.append(at[~inside])
                 continue
-            if len(at) < 2:
-                continue
-            part = rows[at]
-            order = np.sort(part, axis=0)
-            middle = order[len(at) // 2]  # a token that more than half have stands here
-            held = 2 * (part == middle).sum(axis=0) > len(at)
-            if np.count_nonzero(held) >= least:
-                template = np.where(held, middle, -1)
-                inside = _matches(part, template)
-                if np.count_nonzero(inside) > 1:
-                    of[at[inside]] = len(templates)
-                    templates.append(template)
-                    open_sets.append(at[~inside])
-                    continue
-            place = cut(order)
-            by = np.argsort(part[:, place], kind="stable")
-            cuts = np.flatnonzero(np.diff(part[by, place])) + 1
-            open_sets += [at[x] for x in np.split(by, cuts) if len(x) > 1]
-        # lines that a cut parted from a template that covers them
-        for t in range(first_new, len(templates)):
-            free = np.flatnonzero(of < 0)
-            if not len(free):
-                break
-            of[free[_matches(rows[free], templates[t])]] = t
-    return of, templates
+        place = cut(order)
+        by = np.argsort(part[:, place], kind="stable")
+        cuts = np.flatnonzero(np.diff(part[by, place])) + 1
+        open_sets += [at[x] for x in np.split(by, cuts) if len(x) > 1]
 
 
-def _group(block: int, onward: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function from (leaf, masked, shown), in order within a leaf, to (leaf, masked, of_leaf, shown).
+def template_id(template: np.ndarray) -> int:
+    """Hash of a template's places; the first of several that cover a line is that of least id."""
+    return xxhash.xxh3_64_intdigest(template.astype("<i8").tobytes()) - (1 << 63)
 
-    Rows with of_leaf are the lines that belong to a template.  With ``onward``
-    the others follow, and the templates, as lines with variable fields; they
-    have no of_leaf.
-    """
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf: int | None = None
-        masked: list[int] = []
-        shown: list[str] = []
-        size = 0
-        out: list[tuple] = []
-
-        def settle() -> None:
-            nonlocal size
-            if len(masked) == 1:  # most leaves
-                if onward:
-                    out.append((leaf, masked[0], None, shown[0]))
-                masked.clear()
-                shown.clear()
-                size = 0
-                return
-            number: dict[str, int] = {}
-            rows = np.array([[number.setdefault(x, len(number)) for x in s.split(" ")] for s in shown])
-            of, templates = split_leaf(rows)
-            words = [*number, VARIABLE]
-            texts = [" ".join(words[x] for x in t.tolist()) for t in templates]
-            names = [_hash(f"{leaf} {t}") for t in texts]
-            for m, s, t in zip(masked, shown, of.tolist()):
-                if t >= 0:
-                    out.append((leaf, m, names[t], None))
-                elif onward:
-                    out.append((leaf, m, None, s))
-            if onward:
-                out.extend((leaf, m, None, s) for m, s in dict(zip(names, texts)).items())
-            masked.clear()
-            shown.clear()
-            size = 0
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["leaf", "masked", "of_leaf", "shown"])
-            out.clear()
-            return made
+def _covered(rows: np.ndarray, templates: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The place of the first template, by id, that covers each row; -1 for none."""
+    of = np.full(len(rows), -1)
+    for t in sorted(range(len(templates)), key=lambda t: templates[t][0]):
+        free = np.flatnonzero(of < 0)
+        if not len(free):
+            break
+        of[free[_matches(rows[free], templates[t][1])]] = t
+    return of
 
-        last: int | None = None
-        for batch in batches:
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if masked and (a != leaf or size >= block):
-                    settle()
-                if a == leaf and b == last:
-                    continue
-                leaf, last = a, b
-                masked.append(b)
-                shown.append(text)
-                size += text.count(" ") + 1
-            if len(out) >= 10000:
-                yield flush()
-        if masked:
-            settle()
-        yield flush()
 
-    return group
+def split_leaf(rows: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The template of each of a leaf's different lines, -1 for none, and the ids of the templates.
+
+    ``rows`` has a token number a place, none below 0.
+    """
+    of = np.full(len(rows), -1)
+    ids: list[int] = []
+    for cut in CUTS:
+        first, new = len(ids), []
+        free = np.flatnonzero(of < 0)
+        for at, template in _families(rows[free], cut):
+            of[free[at]] = len(ids)
+            ids.append(template_id(template))
+            new.append((ids[-1], template))
+        # lines that a cut parted from a template that covers them
+        free = np.flatnonzero(of < 0)
+        if new and len(free):
+            by = _covered(rows[free], new)
+            of[free[by >= 0]] = first + by[by >= 0]
+    return of, ids
+
+
+class _Numbers(dict):
+    """Words to token numbers: hashes of 63 bits, the same in every task."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = (_hash(word) + (1 << 63)) >> 1
+        return n
+
+    def of(self, shown: list[str]) -> np.ndarray:
+        if len(self) > 1 << 20:
+            self.clear()
+        return np.array([[self[x] for x in s.split(" ")] for s in shown], np.int64)
+
+
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (leaf, masked, shown), in order of leaf and line, to (masked, of_leaf) of the lines that belong to a template."""
+    numbers = _Numbers()
+    leaf: int | None = None
+    masked: list[int] = []
+    shown: list[str] = []
+    out: list[tuple[int, int]] = []
+
+    def settle() -> None:
+        if len(masked) > 1:  # not most leaves
+            of, ids = split_leaf(numbers.of(shown))
+            out.extend((m, ids[t]) for m, t in zip(masked, of.tolist()) if t >= 0)
+        masked.clear()
+        shown.clear()
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 2
+        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["masked", "of_leaf"])
+        out.clear()
+        return made
+
+    last: int | None = None
+    for batch in batches:
+        for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if masked and a != leaf:
+                settle()
+            if a == leaf and b == last:
+                continue
+            leaf, last = a, b
+            masked.append(b)
+            shown.append(text)
+        if len(out) >= 10000:
+            yield flush()
+    settle()
+    yield flush()
 
 
-_GROUPED = "leaf long, masked long, of_leaf long, shown string"
+_GROUPED = "masked long, of_leaf long"
 
 
 def _large_leaves(lines: DataFrame, block: int) -> DataFrame:
@@ -268,29 +273,148 @@ def _large_leaves(lines: DataFrame, block: int) -> DataFrame:
     return different.groupBy("leaf").agg(F.sum("width").alias("tokens")).where(F.col("tokens") >= block).select("leaf")
 
 
-def _turned(turn: int) -> Column:
-    """The line from another of its words on, after the leading tokens that the whole leaf shares."""
-    words = F.split("shown", " ")
-    start = (F.lit(DEPTH) + F.floor((F.size(words) - DEPTH) * turn / TURNS)).cast("int")
-    return F.array_join(F.concat(F.slice(words, start + 1, F.size(words)), F.slice(words, F.lit(1), start)), " ")
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, masked, tokens) of (leaf, masked, shown)."""
+    numbers = _Numbers()
+    for batch in batches:
+        tokens = [numbers.of([s])[0] for s in batch.column("shown").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("masked"), pa.array(tokens, pa.list_(pa.int64()))], names=["leaf", "masked", "tokens"])
+
+
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(n, -1)
+
+
+def _decided(by_fewest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from sets (leaf, set, n, places) to what their counts say: a template, if enough places hold one, and the place to cut at."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                kinds, most, token = (np.array([p[c] for p in r["places"]], np.int64) for c in ("kinds", "most", "token"))
+                held = 2 * most > r["n"]
+                template = np.where(held, token, -1) if np.count_nonzero(held) >= _least(CONSTANT, len(held)) else None
+                if by_fewest:
+                    place = int(np.argmin(np.where(kinds > 1, kinds, r["n"] + 1)))
+                else:
+                    place = int(np.argmax(np.where(most < r["n"], most, 0)))
+                told = (None,) * 3 if template is None else (template.tolist(), _least(SIMILARITY, int(held.sum())), template_id(template))
+                out.append((r["set"], place, *told))
+            kinds_of = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64())
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of)], names=["set", "place", "template", "need", "id"])
+
+    return decide
+
+
+_DECIDED = "set long, place int, template array<long>, need int, id long"
+_FOUND = "leaf long, masked long, of_leaf long, template array<long>"
+
+
+def _settled(cut: Callable[[np.ndarray], int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from lines (leaf, set, masked, tokens), in order of sets, to those that belong to a template, which the first of its lines carries."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the set that may go on
+
+        def done() -> Iterator[tuple]:
+            lines = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            leaf, masked = lines["leaf"][0].as_py(), lines["masked"].to_numpy()
+            for at, template in _families(_rows(lines["tokens"].combine_chunks(), len(masked)), cut):
+                of = template_id(template)
+                for n, m in enumerate(masked[at].tolist()):
+                    yield leaf, m, of, None if n else template.tolist()
+
+        def flush(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["leaf", "masked", "of_leaf", "template"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            sets = batch.column("set").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(sets)) + 1).tolist()] if len(sets) else []
+            for at, end in zip(starts, [*starts[1:], len(sets)]):
+                if held and held[0].column("set")[0].as_py() != sets[at]:
+                    out.extend(done())
+                held.append(batch.slice(at, end - at))
+            yield flush(out)
+        if held:
+            yield flush(list(done()))
+
+    return settle
+
+
+def _large_families(lines: DataFrame, cut: Callable[[np.ndarray], int], block: int) -> DataFrame:
+    """_FOUND of lines (leaf, masked, tokens) by one cut: as _families, with sets of ``block`` tokens or more settled by counts over tasks."""
+    found: list[DataFrame] = []
+    open_sets = lines.withColumn("set", F.col("leaf"))
+    while True:
+        sizes = open_sets.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("of")).where("n > 1")
+        sizes = materialize(sizes, "set-sizes")
+        small = open_sets.join(sizes.where(F.col("of") < block).select("set"), "set", "left_semi")
+        dealt = small.select("leaf", "set", "masked", "tokens").repartition("set").sortWithinPartitions("set")
+        found.append(materialize(dealt.mapInArrow(_settled(cut), _FOUND), "set-families"))
+        if sizes.where(F.col("of") >= block).isEmpty():
+            break
+        large = open_sets.join(sizes.where(F.col("of") >= block).select("set", "n"), "set")
+        counted = large.select("leaf", "set", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "set", "n", "place", "token").agg(F.count(F.lit(1)).alias("most"))
+        places = counted.groupBy("leaf", "set", "n", "place").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("most", "token")).alias("top"))
+        places = places.groupBy("leaf", "set", "n").agg(F.array_sort(F.collect_list(F.struct("place", "kinds", "top.most", "top.token"))).alias("places"))
+        told = materialize(places.mapInArrow(_decided(cut is _by_fewest), _DECIDED), "set-told")
+        agree = F.aggregate(F.zip_with("tokens", "template", lambda x, t: (x == t).cast("int")), F.lit(0), lambda n, x: n + x)
+        tried = large.drop("n").join(told, "set").withColumn("hit", F.col("template").isNotNull() & (agree >= F.col("need")))
+        tried = materialize(tried.select("leaf", "masked", "tokens", "set", "place", "id", "hit"), "set-tried")
+        taking = tried.where("hit").groupBy("set").agg(F.count(F.lit(1)).alias("inside"), F.min("masked").alias("first")).where("inside > 1")
+        tried = tried.join(taking.select("set", "first"), "set", "left").withColumn("takes", F.col("first").isNotNull())
+        inside = tried.where("hit and takes").join(told.select("set", "template"), "set")
+        inside = inside.select("leaf", "masked", F.col("id").alias("of_leaf"), F.when(F.col("masked") == F.col("first"), F.col("template")).alias("template"))
+        found.append(materialize(inside, "set-inside"))
+        part = F.when(F.col("takes"), F.xxhash64("set")).otherwise(F.xxhash64("set", "place", F.element_at("tokens", F.col("place") + 1)))
+        open_sets = materialize(tried.where("not (hit and takes)").select("leaf", "masked", "tokens", part.alias("set")), "open-sets")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _large_covered(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """(masked, of_leaf): for each line (leaf, masked, tokens) the first template (leaf, of_leaf, template), by id, that covers it."""
+    blocks = lambda df, of, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias(name))
+    many = blocks(lines, LINES, "_ls").join(blocks(templates, TEMPLATES, "_ts"), "leaf")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = lines.join(many, "leaf").select("leaf", F.col("masked").alias("id"), "tokens", F.lit(False).alias("of_template"), own("masked", "_ls").alias("i"), all_of("_ts").alias("j"))
+    b = templates.join(many, "leaf").select("leaf", F.col("of_leaf").alias("id"), F.col("template").alias("tokens"), F.lit(True).alias("of_template"), all_of("_ls").alias("i"), own("of_leaf", "_ts").alias("j"))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(batches).combine_chunks()
+        ids, rows = both["id"].to_numpy(), _rows(both["tokens"].combine_chunks(), len(both))
+        side = both["of_template"].to_numpy()
+        known = list(zip(ids[side].tolist(), rows[side]))
+        of = _covered(rows[~side], known)
+        names = np.array([n for n, _ in known], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[~side][of >= 0]), pa.array(names[of[of >= 0]], pa.int64())], names=["masked", "of_leaf"])
+
+    met = a.unionByName(b).groupBy("leaf", "i", "j").applyInArrow(cover, _GROUPED)
+    return met.groupBy("masked").agg(F.min("of_leaf").alias("of_leaf"))
 
 
 def _of_large(items: DataFrame, block: int) -> DataFrame:
-    """(masked, of_leaf) of the lines of large leaves, by TURNS orders of their words."""
-    found: DataFrame | None = None
-    for turn in range(TURNS):
-        dealt = items.withColumn("turned", _turned(turn)).repartitionByRange("leaf", "turned").sortWithinPartitions("leaf", "turned")
-        dealt = dealt.select("leaf", "masked", "shown")
-        out = materialize(dealt.mapInArrow(_group(block, True), _GROUPED), f"large-{turn}")
-        items = out.where("of_leaf is null").select("leaf", "masked", "shown")
-        now = out.where("of_leaf is not null").select("masked", "of_leaf")
-        if found is None:
-            found = now
-        else:
-            then = now.select(F.col("masked").alias("__was"), F.col("of_leaf").alias("__is"))
-            moved = found.join(then.hint("merge"), F.col("of_leaf") == F.col("__was"), "left")
-            found = moved.select("masked", F.coalesce("__is", "of_leaf").alias("of_leaf")).unionByName(now)
-    return found
+    """(masked, of_leaf) of the lines of large leaves: what split_leaf finds, over tasks."""
+    free = materialize(items.mapInArrow(_numbered, "leaf long, masked long, tokens array<long>").dropDuplicates(["masked"]), "large-tokens")
+    out: DataFrame | None = None
+    for cut in CUTS:
+        found = _large_families(free, cut, block)
+        free = materialize(free.join(found.select("masked"), "masked", "left_anti"), "large-free")
+        templates = found.where("template is not null").select("leaf", "of_leaf", "template").dropDuplicates(["of_leaf"])
+        more = materialize(_large_covered(free, templates), "large-covered")
+        free = materialize(free.join(more, "masked", "left_anti"), "large-left")
+        now = found.select("masked", "of_leaf").unionByName(more)
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
 def _templates(source: DataFrame, lines: DataFrame, block: int) -> DataFrame:
@@ -300,7 +424,7 @@ def _templates(source: DataFrame, lines: DataFrame, block: int) -> DataFrame:
     any_large = not large.isEmpty()
     small = different.join(large, "leaf", "left_anti") if any_large else different
     dealt = small.repartition("leaf").sortWithinPartitions("leaf", "masked")
-    out = materialize(dealt.mapInArrow(_group(block, False), _GROUPED), "templates").select("masked", "of_leaf")
+    out = materialize(dealt.mapInArrow(_group, _GROUPED), "templates")
     if any_large:
         items = materialize(different.join(large, "leaf", "left_semi"), "large-lines")
         out = out.unionByName(materialize(_of_large(items, block), "large-templates"))
