@@ -7,6 +7,7 @@ from voxloom.operators import local_map as L
 from voxloom.operators import solvers as N
 from voxloom.plans import mapping as B
 from voxloom.plans import odometry as O
+from voxloom.plans import q_solvers as Q
 
 
 def brute_nearest(cells, points, within):
@@ -142,3 +143,11 @@ def test_sequences_do_not_mix_in_the_pose_graph(spark):
     poses = spark.createDataFrame([row("a", k, k) for k in range(5)] + [row("b", k, 10 * k) for k in range(5)], "seq_id string, frame_id long, m array<double>")
     out = {(r.seq_id, r.frame_id): r.m[3] for r in B.optimise(poses, None).collect()}
     assert all(abs(x - (k if s == "a" else 10 * k)) < 1e-6 for (s, k), x in out.items()) and len(out) == 10
+
+
+def test_the_back_end_reads_points_that_are_computed_once(spark, sf, monkeypatch):
+    given = {}
+    monkeypatch.setattr(Q.B, "back_end", lambda points, nodes, front, **_: given.update(points=points, nodes=nodes) or {"graph": points})
+    Q.ctl_back(spark, sf)
+    for name, df in given.items():
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString(), name
