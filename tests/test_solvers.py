@@ -143,3 +143,28 @@ def test_a_line_of_objects_still_has_a_motion():
     found, score, inliers = N.consensus(line, line + 1, 50, 1, "graph", line, line + 1)
     assert inliers == 6 and score == 1.0
     assert np.allclose(N.moved(found, line), line + 1)
+
+
+def test_right_matches_near_a_line_decide_over_samples_with_a_wrong_one():
+    """The four right matches lie within centimetres of a line; a sample with the wrong one puts three points into place."""
+    points = np.array([[-29.0, -29.0, 0.04], [10.0, -16.0, 0.02], [16.0, -14.0, 0.0], [14.0, 26.125, 0.02], [-14.0, -24.125, -0.02]])
+    m = np.eye(4)
+    m[:3] = [[0, -1, 0, 8000.5], [1, 0, 0, 4000.25], [0, 0, 1, 0]]
+    to = N.moved(m, points)
+    wrong = to.copy()
+    wrong[3, 2] += 5
+    for seed in range(40):
+        found, score, inliers = N.consensus(points, wrong, 200, seed, "graph", points, to)
+        assert (inliers, score) == (5, 1.0)
+        assert np.abs(found - m).max() < 5e-7
+
+
+def test_of_motions_with_as_many_inliers_the_best_fit_is_taken():
+    """A sample with the wrong match brings as many matches within the cell's size as the right ones do, but not onto their places."""
+    points = np.array([[-29.0, -29.0, 0.02], [8.0, 24.0, 0.02], [14.0, 26.0, 0.06], [-8.0, -21.875, -0.06], [-10.0, 18.0, 0.02], [-16.0, 16.0, 0.04]])
+    to = points + [100.0, 50.0, 0.0]
+    to[3, 2] += 5
+    for seed in range(40):
+        found, _, inliers = N.consensus(points, to, 100, seed, "direct")
+        assert inliers == 5
+        assert np.abs(found[:3, 3] - [100.0, 50.0, 0.0]).max() < 5e-7

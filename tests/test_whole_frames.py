@@ -1,12 +1,15 @@
 """Queries on frames and poses without a cut by id."""
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.plans import catalog
 from voxloom.plans import fixtures as X
 
-QUERIES, _ = catalog.load()
+QUERIES, ORACLE = catalog.load()
 
 
 @pytest.mark.parametrize("name", ["icp_frame", "ctl_front", "stream_odometry"])
@@ -17,3 +20,22 @@ def test_odometry_takes_every_frame(spark, sf, name):
 
 def test_pose_graph_takes_every_pose(spark, sf):
     assert QUERIES["pgo"](spark, sf).count() == X.predicted(spark, sf).count()
+
+
+def test_poses_of_frames_with_few_objects_equal_the_sql(spark, sf, tmp_path):
+    """Five objects a frame, most of them near the line on which six of the fixture's stand."""
+    rng = np.random.default_rng(11)
+    line, rest, rows = [0, 6, 7, 15, 21, 22], [1, 2, 5, 10, 11, 12, 16, 17, 20], []
+    for frame in range(40):
+        for obj in [*rng.choice(line, 4, replace=False), rng.choice(rest)]:
+            for k in range(40):
+                rows.append((frame * 250 + int(rng.integers(250)), len(rows), int(obj), k % 7 + 1, float(rng.integers(1, 51)), 1.0, rng.integers(0, 11) / 100, rng.integers(0, 9) / 100))
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "embeddings", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path if name == 'lineitem' else sf}/{name}.parquet'")
+    want = {r[0]: (r[1], r[2]) for r in con.execute(f"SELECT pair, found, m FROM ({ORACLE['gm_reloc']})").fetchall()}
+    got = {r.pair: (r.found, r.m) for r in QUERIES["gm_reloc"](spark, str(tmp_path)).collect()}
+    assert len(want) == 40
+    assert got == want
