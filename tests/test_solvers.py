@@ -168,3 +168,26 @@ def test_of_motions_with_as_many_inliers_the_best_fit_is_taken():
         found, _, inliers = N.consensus(points, to, 100, seed, "direct")
         assert inliers == 5
         assert np.abs(found[:3, 3] - [100.0, 50.0, 0.0]).max() < 5e-7
+
+
+def test_without_iterations_every_three_matches_are_tried():
+    """Three of forty matches are right, one sample of 9,880."""
+    rng = np.random.default_rng(3)
+    points = rng.uniform(-30, 30, (40, 3))
+    to = N.moved(MOTION, points)
+    matched = rng.uniform(-30, 30, (40, 3))
+    matched[[4, 17, 39]] = to[[4, 17, 39]]
+    found, score, inliers = N.consensus(points, matched, None, 1, "graph", points, to)
+    assert (inliers, score) == (40, 1.0)
+    assert np.abs(found - MOTION).max() < 1e-6
+
+
+@pytest.mark.parametrize("mode", ["graph", "direct", "pairs"])
+def test_matches_on_a_line_take_the_turn_that_tilts_least(mode):
+    m = np.eye(4)
+    m[:3] = [[0, -1, 0, 9000.5], [1, 0, 0, 4500.25], [0, 0, 1, 0]]
+    for along in ([3.0, 1.0, 0.0], [3.0, 1.0, 0.5]):
+        line = np.outer(np.arange(5.0), along) + [-29, -29, 0.02]
+        found, _, inliers = N.consensus(line, N.moved(m, line), 100, 1, mode, line, N.moved(m, line))
+        assert inliers == 5
+        assert np.abs(found - m).max() < 5e-7

@@ -39,3 +39,23 @@ def test_poses_of_frames_with_few_objects_equal_the_sql(spark, sf, tmp_path):
     got = {r.pair: (r.found, r.m) for r in QUERIES["gm_reloc"](spark, str(tmp_path)).collect()}
     assert len(want) == 40
     assert got == want
+
+
+def test_frames_of_any_number_of_objects_are_relocalised_or_said_not_to_be(spark, sf, tmp_path):
+    """Frames of 0 to 6 objects; more than three are looked for, also where the right matches are on a line (0, 6, 7, 15, 21, 22)."""
+    frames = [[], [0], [0, 15], [0, 5, 6], [0, 15, 6, 1], [0, 15, 6, 22], [0, 5, 6, 1], [0, 15, 6, 1, 7], [0, 5, 1, 6, 2, 7], [3, 4]]
+    rows = []
+    for frame, objects in enumerate(frames):
+        for obj in [*objects, 3]:
+            for k in range(12):
+                end = k % 2
+                rows.append((frame * 250, len(rows), obj, len(rows), 1.0 + 49 * end, 1.0, end / 10, 2 * end / 25))
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "embeddings", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path if name == 'lineitem' else sf}/{name}.parquet'")
+    want = {r[0]: (r[1], r[2]) for r in con.execute(f"SELECT pair, found, m FROM ({ORACLE['gm_reloc']})").fetchall()}
+    got = {r.pair: (r.found, r.m) for r in QUERIES["gm_reloc"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert [got[f][0] for f in range(len(frames))] == [len([o for o in objects if o % 5 < 3]) > 3 for objects in frames]
